@@ -7,6 +7,7 @@ from pyspark.sql import DataFrame, SparkSession, functions as F
 from pagemill.llm.cap import cap_contributors, clean_domain
 from pagemill.llm.format_dups import format_duplicates, query_fields, url_fields
 from pagemill.llm.heavy_hitters import WHITE, clean_query, heavy_hitters
+from pagemill.llm.stuffing import stuffed_pages
 from pagemill.plans.skew import lookup
 
 
@@ -41,6 +42,10 @@ def p4_sample(spark: SparkSession, d: str) -> DataFrame:
     return cap_contributors(_hits(spark, d), "hit_id", "source", "score", 20, temperature=1.0).where("kept").select("hit_id", "source")
 
 
+def p5_found(spark: SparkSession, d: str) -> DataFrame:
+    return stuffed_pages(table(spark, d, "doc_meta"), "doc_id", "description", "keywords").where("stuffed_text or stuffed_keywords").select("doc_id")
+
+
 def queries() -> dict:
     return {k: v for k, v in globals().items() if k[0] == "p" and k[1:2].isdigit()}
 
