@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
 from pagemill.llm.cap import cap_contributors, clean_domain
+from pagemill.llm import forest
 from pagemill.llm.format_dups import format_duplicates, query_fields, url_fields
 from pagemill.llm.heavy_hitters import WHITE, clean_query, heavy_hitters
 from pagemill.llm.stuffing import stuffed_pages
@@ -46,6 +47,20 @@ def p5_found(spark: SparkSession, d: str) -> DataFrame:
     return stuffed_pages(table(spark, d, "doc_meta"), "doc_id", "description", "keywords").where("stuffed_text or stuffed_keywords").select("doc_id")
 
 
+def _near(spark: SparkSession, d: str):
+    text = F.concat(F.coalesce("title", F.lit("")), F.lit(" "), F.coalesce("description", F.lit("")))
+    return forest.near_duplicates(table(spark, d, "doc_meta"), "doc_id", forest.clean(text), threshold=0.7, least=80)
+
+
+def p6_found(spark: SparkSession, d: str) -> DataFrame:
+    return forest.all_pairs(*_near(spark, d)).select(F.col("a").alias("doc_id_a"), F.col("b").alias("doc_id_b"))
+
+
+def p6_groups(spark: SparkSession, d: str) -> DataFrame:
+    """One row for each document of a group of two or more: the group, and its size as the right dup_count."""
+    return forest.groups(*_near(spark, d)).select(F.col("_id").alias("doc_id"), F.col("group").alias("group_id"), F.col("size").alias("dup_count"))
+
+
 def queries() -> dict:
     return {k: v for k, v in globals().items() if k[0] == "p" and k[1:2].isdigit()}
 
