@@ -6,8 +6,10 @@ from pyspark.sql import DataFrame, SparkSession, functions as F
 
 from pagemill.llm.cap import cap_contributors, clean_domain
 from pagemill.llm import forest
+from pagemill.llm.encode import encode_corpus
 from pagemill.llm.format_dups import format_duplicates, query_fields, url_fields
 from pagemill.llm.heavy_hitters import WHITE, clean_query, heavy_hitters
+from pagemill.llm.pack import pack
 from pagemill.llm.stuffing import stuffed_pages
 from pagemill.plans.skew import lookup
 
@@ -61,6 +63,16 @@ def p6_groups(spark: SparkSession, d: str) -> DataFrame:
     return forest.groups(*_near(spark, d)).select(F.col("_id").alias("doc_id"), F.col("group").alias("group_id"), F.col("size").alias("dup_count"))
 
 
+def p7_ids(spark: SparkSession, d: str) -> DataFrame:
+    return encode_corpus(table(spark, d, "documents"), "doc_id", "text")
+
+
+def p8_containers(spark: SparkSession, d: str) -> DataFrame:
+    """Containers of 2,048 tokens filled with the documents: container, slot, doc_id, first token of the document, number of tokens."""
+    sizes = encode_corpus(table(spark, d, "documents"), "doc_id", "text").select("doc_id", F.size("ids").alias("tokens"))
+    return pack(sizes, "doc_id", "tokens", 2048)
+
+
 def queries() -> dict:
     return {k: v for k, v in globals().items() if k[0] == "p" and k[1:2].isdigit()}
 
