@@ -156,7 +156,7 @@ def representatives(df: DataFrame, key: str, text: Column, least: int) -> tuple[
     hashed = rows.select("_id", F.struct(F.xxhash64("_text").alias("x"), F.xxhash64(F.reverse("_text"), F.length("_text")).alias("y")).alias("_h"))
     first = hashed.groupBy("_h").agg(F.min("_id").alias("_rep"), F.count("*").alias("_n")).where("_n > 1").drop("_n")
     copies = durable(lookup(hashed, first, "_h", F.col("_id"), "inner").where("_id <> _rep").select("_id", "_rep").distinct(), "copies")
-    return rows.join(copies, "_id", "left_anti").dropDuplicates(["_id"]), copies
+    return rows.join(copies, "_id", "left_anti"), copies
 
 
 def near_pairs(rows: DataFrame, *, threshold: float, trees: int = 24, longest: int = 6, recall: float = 0.95, hot: int = 4096) -> DataFrame:
@@ -185,14 +185,15 @@ def near_pairs(rows: DataFrame, *, threshold: float, trees: int = 24, longest: i
     found = spread.repartition("_k").sortWithinPartitions("_k").mapInArrow(pairer(most_bits), f"a {kind}, b {kind}").where("a <> b").distinct()
     texts = rows.select("_id", "_text")
     both = found.join(texts.select(F.col("_id").alias("a"), F.col("_text").alias("_ta")), "a").join(texts.select(F.col("_id").alias("b"), F.col("_text").alias("_tb")), "b")
-    return both.mapInArrow(verifier(threshold), f"a {kind}, b {kind}, similarity double")
+    checked = both.mapInArrow(verifier(threshold), f"a {kind}, b {kind}, similarity double")
+    return checked.groupBy("a", "b").agg(F.max("similarity").alias("similarity"))
 
 
 def near_duplicates(df: DataFrame, key: str, text: Column, *, threshold: float, least: int, **options) -> tuple[DataFrame, DataFrame]:
     """Pairs between representatives of equal texts, and the other copies: ((a, b, similarity), (_id, _rep)).
 
     ``text`` is a clean form; rows with a null key or text, or fewer than ``least`` characters, take no part.  Rows of equal key and
-    text are one; of rows with equal keys and unlike texts one stays.
+    text are one; rows with equal keys and unlike texts are linked to whatever one of the texts is.
     """
     reps, copies = representatives(df, key, text, least)
     reps = durable(reps, "texts")
