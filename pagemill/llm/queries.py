@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
 from pagemill.llm.cap import cap_contributors, clean_domain
-from pagemill.llm import forest
+from pagemill.llm import forest, language
 from pagemill.llm.encode import encode_corpus
 from pagemill.llm.format_dups import format_duplicates, query_fields, url_fields
 from pagemill.llm.heavy_hitters import WHITE, clean_query, heavy_hitters
@@ -73,6 +73,20 @@ def p8_containers(spark: SparkSession, d: str) -> DataFrame:
     return pack(sizes, "doc_id", "tokens", 2048)
 
 
+def _scored(spark: SparkSession, d: str) -> DataFrame:
+    codes = sorted(r[0] for r in table(spark, d, "languages").select("code").collect())
+    return language.languages(table(spark, d, "documents"), "doc_id", "text", "lang", codes)
+
+
+def p9_found(spark: SparkSession, d: str) -> DataFrame:
+    return language.spoken(_scored(spark, d), "doc_id").where("named is null or named <> lang").select("doc_id", "lang")
+
+
+def p9_segments(spark: SparkSession, d: str) -> DataFrame:
+    """Every segment of every document, with its language and the confidence."""
+    return _scored(spark, d).select("doc_id", F.explode("segments").alias("s")).select("doc_id", "s.*")
+
+
 def queries() -> dict:
     return {k: v for k, v in globals().items() if k[0] == "p" and k[1:2].isdigit()}
 
