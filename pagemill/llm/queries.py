@@ -9,6 +9,7 @@ from pagemill.llm import forest, language
 from pagemill.llm.encode import encode_corpus
 from pagemill.llm.format_dups import format_duplicates, query_fields, url_fields
 from pagemill.llm.heavy_hitters import WHITE, clean_query, heavy_hitters
+from pagemill.llm.history import repeats
 from pagemill.llm.pack import pack
 from pagemill.llm.stuffing import stuffed_pages
 from pagemill.plans.skew import lookup
@@ -30,6 +31,10 @@ def p2_found(spark: SparkSession, d: str) -> DataFrame:
         asked.select(F.lit("query_stats").alias("src"), "first_id", "copy_id"))
 
 
+def p3_found(spark: SparkSession, d: str) -> DataFrame:
+    return repeats(table(spark, d, "meta_results"), "batch_id", "result_id", "url", "title")
+
+
 def _hits(spark: SparkSession, d: str) -> DataFrame:
     docs = table(spark, d, "doc_meta").groupBy("doc_id").agg(F.min(clean_domain(F.col("domain"))).alias("_domain")).where("_domain is not null")
     hits = table(spark, d, "search_hits").select("hit_id", "doc_id", "score")
