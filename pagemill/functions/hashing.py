@@ -6,7 +6,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import Column, functions as F
+from pyspark.sql import Column, functions as F, types as T
 
 from pagemill.functions.urls import SPACE
 
@@ -15,11 +15,15 @@ BASIS, LOW_PRIME = -3750763034362895579, 435
 _BASIS, _PRIME = np.uint64(0xCBF29CE484222325), np.uint64(0x100000001B3)
 
 
+def hex_bytes(c: Column) -> Column:
+    """The UTF-8 bytes of a text as a list of two hexadecimal digits each, cut in one pass."""
+    return F.regexp_extract_all(F.hex(F.encode(c, "UTF-8")), F.lit(".."), F.lit(0))
+
+
 def fnv1a64(c: Column) -> Column:
     """64-bit FNV-1a over UTF-8 bytes, in two 32-bit halves, so that nothing overflows under ANSI."""
     mask = F.lit(0xFFFFFFFF).cast("long")
-    hexed = F.hex(F.encode(c, "UTF-8"))
-    codes = F.transform(F.sequence(F.lit(1), F.octet_length(c)), lambda i: F.conv(F.substring(hexed, 2 * i - 1, F.lit(2)), 16, 10).cast("long"))
+    codes = F.transform(hex_bytes(c), lambda x: F.conv(x, 16, 10).cast("long"))
 
     def step(h: Column, b: Column) -> Column:
         x = h.bitwiseXOR(b)
@@ -59,7 +63,7 @@ def simhash_of(text: str | None) -> int | None:
     return int(np.packbits((2 * ones > len(h)).astype(np.uint8), bitorder="little").view(np.int64)[0])
 
 
-@F.pandas_udf("long")
+@F.pandas_udf(T.LongType())
 def _simhash(batches: Iterator[pd.Series]) -> Iterator[pd.Series]:
     for b in batches:
         yield pd.Series([simhash_of(t) for t in b], dtype="Int64")

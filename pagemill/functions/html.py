@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import Column, functions as F
 
+from pagemill.functions.hashing import hex_bytes
 from pagemill.functions.urls import SPACE, normalize_url, resolve_url, strip
 
 
@@ -61,7 +62,7 @@ def decode_entities(c: Column) -> Column:
         code = F.when(p.rlike("^&#[0-9]+;$"), F.regexp_extract(p, "^&#([0-9]+);$", 1).cast("int")).when(
             p.rlike("^&#[xX][0-9a-fA-F]+;$"), F.conv(F.regexp_extract(p, "^&#[xX]([0-9a-fA-F]+);$", 1), 16, 10).cast("int"))
         valid = code.between(0, 0x10FFFF) & ~code.between(0xD800, 0xDFFF)
-        wide = F.decode(F.unhex(F.lpad(F.hex(code), 8, "0")), "UTF-32BE")
+        wide = F.decode(F.unhex(F.lpad(F.hex(code), 8, "0")), "UTF-32")
         named = F.when(p == "&quot;", '"').when(p == "&amp;", "&").when(p == "&lt;", "<").when(p == "&gt;", ">").when(p == "&nbsp;", " ").when(p == "&apos;", "'")
         return F.coalesce(named, F.when(valid, wide), p)
 
@@ -105,7 +106,7 @@ def render_page(template: str, **fields: Column) -> Column:
 def icon_hue(domain: Column) -> Column:
     """Hue of a domain's letter icon: its bytes as a polynomial in 31, modulo 2**64, then modulo 360."""
     d = strip(domain)
-    codes = F.when(F.octet_length(d) > 0, F.transform(F.sequence(F.lit(1), F.octet_length(d)), lambda i: F.conv(F.substring(F.hex(F.encode(d, "UTF-8")), 2 * i - 1, F.lit(2)), 16, 10).cast("decimal(38,0)"))).otherwise(F.array().cast("array<decimal(38,0)>"))
+    codes = F.transform(hex_bytes(d), lambda x: F.conv(x, 16, 10).cast("decimal(38,0)"))
     h = F.aggregate(codes, F.lit(0).cast("decimal(38,0)"), lambda a, b: F.pmod(a * F.lit(31) + b, F.lit("18446744073709551616").cast("decimal(38,0)")).cast("decimal(38,0)"))
     return F.pmod(h, F.lit(360).cast("decimal(38,0)")).cast("int")
 

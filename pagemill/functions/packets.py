@@ -3,7 +3,7 @@
 from __future__ import annotations
 
 import pandas as pd
-from pyspark.sql import Column, functions as F
+from pyspark.sql import Column, functions as F, types as T
 
 
 def build_query(fqdn: Column, qtype: Column, ident: Column) -> Column:
@@ -47,7 +47,7 @@ def head_of(b: bytes | None) -> tuple[int, int, bool] | None:
     return flags & 15, answers, bool(flags & 0x200)
 
 
-@F.pandas_udf("struct<rcode:int,ancount:int,truncated:boolean>")
+@F.pandas_udf(T.StructType().add("rcode", T.IntegerType()).add("ancount", T.IntegerType()).add("truncated", T.BooleanType()))
 def _heads(packets: pd.Series) -> pd.DataFrame:
     rows = [head_of(None if p is None else bytes(p)) or (None, None, None) for p in packets]
     return pd.DataFrame(rows, columns=["rcode", "ancount", "truncated"]).astype({"rcode": "Int32", "ancount": "Int32", "truncated": "boolean"})

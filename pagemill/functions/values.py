@@ -18,7 +18,8 @@ def parse_bool(c: Column) -> Column:
 
 def json_valid(c: Column) -> Column:
     """Whether a text is one JSON value."""
-    return F.try_parse_json(c).isNotNull()
+    alone = F.try_variant_get(F.try_parse_json(F.concat(F.lit("["), c, F.lit("]"))), "$", "array<variant>")
+    return F.coalesce(F.try_parse_json(c).isNotNull() & (F.size(alone) == 1), F.lit(False))
 
 
 def json_get(c: Column, path: str, kind: str) -> Column:

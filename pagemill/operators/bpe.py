@@ -9,27 +9,28 @@ from dataclasses import dataclass, field
 import pandas as pd
 from pyspark.sql import Column, DataFrame, functions as F
 
+from pagemill.functions.hashing import hex_bytes
 from pagemill.functions.urls import SPACE
 
 #: Words of so many bytes are trained on, so many of them at most, and the bounds of a vocabulary.
 BYTES, MOST_WORDS, SMALLEST, LARGEST = (2, 64), 50_000, 300, 1_000_000
 
 
-def words_in_order(df: DataFrame, key: str, text: str, most: int = MOST_WORDS) -> DataFrame:
-    """(word, key, pos): distinct words of 2 to 64 bytes where each occurs first; the ``most`` first of them.
+def words_in_order(df: DataFrame, key: str, text: str, most: int | None = MOST_WORDS) -> DataFrame:
+    """(word, key, pos): distinct words of 2 to 64 bytes where each occurs first; the ``most`` first of them (None: all, in no order).
 
     The first place of a word is a minimum with map-side combine; the limit is the feature's own bound on training.
     """
     each = df.select(key, F.posexplode(F.split(F.col(text), f"[{SPACE}]+")).alias("pos", "word")).where(F.octet_length("word").between(*BYTES))
     first = each.groupBy("word").agg(F.min(F.struct(key, "pos")).alias("at"))
-    return first.select("word", f"at.{key}", "at.pos").orderBy(key, "pos").limit(most)
+    words = first.select("word", f"at.{key}", "at.pos")
+    return words if most is None else words.orderBy(key, "pos").limit(most)
 
 
 def pair_counts(words: DataFrame, word: str = "word") -> DataFrame:
     """(l, r, n): how often each two bytes stand together in distinct words; ids are byte + 1."""
-    hexed = F.hex(F.encode(F.col(word), "UTF-8"))
-    at = lambda i: F.conv(F.substring(hexed, 2 * i - 1, F.lit(2)), 16, 10).cast("int") + 1
-    pairs = F.transform(F.sequence(F.lit(1), F.octet_length(word) - 1), lambda i: F.struct(at(i).alias("l"), at(i + 1).alias("r")))
+    ids = F.transform(hex_bytes(F.col(word)), lambda x: F.conv(x, 16, 10).cast("int") + 1)
+    pairs = F.zip_with(F.slice(ids, 1, F.size(ids) - 1), F.slice(ids, 2, F.size(ids)), lambda a, b: F.struct(a.alias("l"), b.alias("r")))
     return words.where(F.octet_length(word) >= 2).select(F.explode(pairs).alias("p")).groupBy("p.l", "p.r").agg(F.count("*").alias("n"))
 
 
@@ -128,7 +129,7 @@ class Vocabulary:
         """Column function: ids of texts, by a pandas function with the vocabulary as a broadcast; words seen are remembered."""
         shared = spark.sparkContext.broadcast(self)
 
-        @F.pandas_udf("array<int>" if kind == "array<int>" else "array<string>")
+        @F.pandas_udf(kind)
         def run(batches: Iterator[pd.Series]) -> Iterator[pd.Series]:
             v, known = shared.value, {}
             for b in batches:

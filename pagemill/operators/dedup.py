@@ -34,8 +34,9 @@ def exact_duplicates(df: DataFrame, key: str, value: str) -> DataFrame:
 
 
 def _near(bits: int):
-    def run(key, group: pa.Table) -> pa.Table:
+    def run(group: pa.Table) -> pa.Table:
         i, s, n, role = (group.column(c).to_numpy() for c in ("id", "s", "n", "role"))
+        s = s.astype(np.int64).view(np.uint64)  # of signed numbers, the bits of the absolute value would be counted
         left, right = np.flatnonzero(role != 2), np.flatnonzero(role != 1)
         out = []
         for at in range(0, len(left), 256):
@@ -94,8 +95,7 @@ def representatives(prints: DataFrame, key: str, *, pairs: DataFrame | None = No
     for _ in range(most_rounds):
         seen = pairs.join(state.select(F.col("id").alias("a"), F.col("s").alias("sa")), "a").groupBy("b").agg(
             F.max((F.col("sa") == 1).cast("int")).alias("kept"), F.max((F.col("sa") == 0).cast("int")).alias("open"))
-        new = state.join(seen, state.id == seen.b, "left").select("id", F.when(F.col("s") != 0, F.col("s")).when(F.col("kept") == 1, 2).when(F.col("open") == 1, 0).otherwise(1).alias("s"))
-        state = durable(new, "state")
+        state = durable(state.join(seen, F.col("id") == F.col("b"), "left").select("id", F.when(F.col("s") != 0, F.col("s")).when(F.col("kept") == 1, 2).when(F.col("open") == 1, 0).otherwise(1).alias("s")), "state")
         if not state.where("s = 0").take(1):
             break
     else:

@@ -70,8 +70,8 @@ def list_entries(lines: DataFrame, column: str = "value") -> DataFrame:
 def cache_hits(requests: DataFrame, key: list[str], ts: str, order: str, ttl_seconds: int = 60) -> DataFrame:
     """``requests`` with ``hit``: whether its key was put at most ``ttl_seconds`` before; a hit doesn't renew, an expired one is put again.
 
-    An ordered fold for each key.  Keys are folded in sessions of requests that start where the gap to the one before exceeds
-    the time to live, for there nothing of what came before counts; a key's sessions are spread over tasks.
+    An ordered fold for each key, streamed through sorted partitions.  Keys are folded in sessions of requests that start where the gap to
+    the one before exceeds the time to live, for there nothing of what came before counts; a key's sessions are spread over tasks.
     """
     w = Window.partitionBy(*key).orderBy(ts, order)
     gap = F.unix_micros(F.col(ts).cast("timestamp")) - F.lag(F.unix_micros(F.col(ts).cast("timestamp"))).over(w)
@@ -79,13 +79,16 @@ def cache_hits(requests: DataFrame, key: list[str], ts: str, order: str, ttl_sec
     parted = marked.withColumn("_s", F.sum("_new").over(w))
     schema = ", ".join(f"`{n}` {t}" for n, t in [*requests.dtypes, ("hit", "boolean")])
 
-    def fold(pdf):
-        pdf = pdf.sort_values([ts, order], kind="stable")
-        put, hits = None, []
-        for t in pdf[ts]:
-            hit = put is not None and (t - put).total_seconds() <= ttl_seconds
-            put = put if hit else t
-            hits.append(hit)
-        return pdf.drop(columns=["_new", "_s"]).assign(hit=hits)
-
-    return parted.groupBy(*key, "_s").applyInPandas(fold, schema)
+    def fold(batches):
+        last, put = None, None
+        for pdf in batches:
+            hits = []
+            for *k, t in zip(*[pdf[c] for c in (*key, "_s")], pdf[ts]):
+                if k != last:
+                    last, put = k, None
+                hit = put is not None and (t - put).total_seconds() <= ttl_seconds
+                put = put if hit else t
+                hits.append(hit)
+            yield pdf.drop(columns=["_new", "_s"]).assign(hit=hits)
+
+    return parted.repartition(*key, "_s").sortWithinPartitions(*key, "_s", ts, order).mapInPandas(fold, schema)

@@ -66,5 +66,5 @@ if __name__ == "__main__":
         except Exception as x:
             why = f"ERROR {str(x)[:600]}"
         bad += not why.startswith(("ok", "rows only"))
-        print(f"{name}: {time.time() - t:.1f} s {why[:900]}", flush=True)
+        print(f"\n{name}: {time.time() - t:.1f} s " + why.replace("\n", " ")[:900], flush=True)
     print(bad, "bad")
