@@ -14,11 +14,15 @@ import regex
 from pyspark import SparkFiles
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from pagemill.plans.durable import new_path
+from pagemill.plans.durable import durable, new_path
 
 VOCABULARY = "/opt/tokenizers/byte_bpe_50k.tiktoken"
 #: Fixed value: the pattern of the vocabulary's authors that splits a text into words before merging.
 PATTERN = r"'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"
+#: In place of a token: no merge.
+NONE = 2**31 - 1
+#: Words of more bytes are merged one by one.
+LONG = 64
 #: The same for the JVM, whose white space is that of Unicode under this flag only.
 _JAVA_PATTERN = f"(?U)({PATTERN})"
 
@@ -56,6 +60,89 @@ def merge(piece: bytes, ranks: dict[bytes, int]) -> list[int]:
     return [ranks[p] for p in parts if p is not None]
 
 
+class Pairs:
+    """Which adjacent tokens merge, and to what: an open hash table in flat arrays, and the ids of single bytes."""
+
+    def __init__(self, ranks: dict[bytes, int]):
+        keys, ids = [], []
+        for token, r in ranks.items():
+            for i in range(1, len(token)):
+                a, b = ranks.get(token[:i]), ranks.get(token[i:])
+                if a is not None and b is not None:
+                    keys.append(a << 32 | b)
+                    ids.append(r)
+        self.bits = max(4, (len(keys) * 3).bit_length())
+        self.keys, self.ids = np.full(1 << self.bits, -1, np.int64), np.full(1 << self.bits, NONE, np.int32)
+        self.bytes = np.array([ranks[bytes([i])] for i in range(256)], np.int64)
+        key, value = np.array(keys, np.int64), np.array(ids, np.int32)
+        at = self.slot(key)
+        while len(key):
+            free = self.keys[at] == -1
+            first = np.zeros(len(key), bool)
+            first[np.unique(at, return_index=True)[1]] = True
+            put = free & first
+            self.keys[at[put]], self.ids[at[put]] = key[put], value[put]
+            key, value, at = key[~put], value[~put], (at[~put] + 1) & ((1 << self.bits) - 1)
+
+    def slot(self, key: np.ndarray) -> np.ndarray:
+        with np.errstate(over="ignore"):
+            return ((key.astype(np.uint64) * np.uint64(0x9E3779B97F4A7C15)) >> np.uint64(64 - self.bits)).astype(np.int64)
+
+    def rank(self, a: np.ndarray, b: np.ndarray) -> np.ndarray:
+        """The token that each two tokens give, NONE where they don't merge."""
+        key = a << 32 | b
+        at = self.slot(key)
+        there = self.keys[at]
+        out = np.where(there == key, self.ids[at], NONE)
+        open_ = np.flatnonzero((there != key) & (there != -1))
+        while len(open_):
+            at[open_] = (at[open_] + 1) & ((1 << self.bits) - 1)
+            there = self.keys[at[open_]]
+            hit = there == key[open_]
+            out[open_[hit]] = self.ids[at[open_[hit]]]
+            open_ = open_[~hit & (there != -1)]
+        return out
+
+    def merge(self, words: list[bytes]) -> list[list[int]]:
+        """The ids of many words: in each round every word merges its pair of lowest rank, the leftmost first."""
+        out: list[list[int]] = [[]] * len(words)
+        order = sorted(range(len(words)), key=lambda i: len(words[i]))
+        for at in range(0, len(order), 4096):
+            place = np.array(order[at:at + 4096])
+            left = np.fromiter((len(words[i]) for i in place), np.int64, len(place))
+            step = np.arange(int(left[-1]) + 1)
+            ids = np.zeros((len(place), len(step)), np.int64)
+            ids[step < left[:, None]] = self.bytes[np.frombuffer(b"".join(words[i] for i in place), np.uint8)]
+            ranks = np.full(ids.shape, NONE, np.int32)
+            pair = step[:-1] < left[:, None] - 1
+            ranks[:, :-1][pair] = self.rank(ids[:, :-1][pair], ids[:, 1:][pair])
+            while len(place):
+                best = ranks.argmin(1)
+                go = ranks[np.arange(len(place)), best] < NONE
+                if not go.all():
+                    for i, row, n in zip(place[~go].tolist(), ids[~go].tolist(), left[~go].tolist()):
+                        out[i] = row[:n]
+                    place, left, ids, ranks, best = place[go], left[go] - 1, ids[go], ranks[go], best[go]
+                else:
+                    left = left - 1
+                if not len(place):
+                    break
+                row = np.arange(len(place))
+                new = ranks[row, best]
+                keep = np.ones(ids.shape, bool)
+                keep[row, best + 1] = False
+                ids = ids[keep].reshape(len(place), -1)
+                ids[row, best] = new
+                keep[row, best + 1], keep[row, best] = True, False
+                ranks = ranks[keep].reshape(len(place), -1)
+                for k in (best - 1, best):
+                    some = (k >= 0) & (k + 1 < left)
+                    ranks[row[k >= 0], k[k >= 0]] = NONE
+                    r, k = row[some], k[some]
+                    ranks[r, k] = self.rank(ids[r, k], ids[r, k + 1])
+        return out
+
+
 class Lexicon:
     """A minimal acyclic transducer from words to lists of ids, as flat arrays that can be memory-mapped.
 
@@ -130,7 +217,7 @@ class Lexicon:
                 version = np.lib.format.read_magic(f)
                 shape, _, kind = np.lib.format.read_array_header_1_0(f) if version == (1, 0) else np.lib.format.read_array_header_2_0(f)
                 body, size = f.tell(), int(np.prod(shape)) * kind.itemsize
-                found[name] = np.memmap(path, kind, "r", body, shape) if size else np.empty(shape, kind)
+                found[name] = np.asarray(np.memmap(path, kind, "r", body, shape)) if size else np.empty(shape, kind)
                 at = body + size
         return cls(root=len(found["final"]) - 1, **found)
 
@@ -157,10 +244,20 @@ class Lexicon:
 
 
 def frequent_words(df: DataFrame, text: str, most: int) -> list[str]:
-    """The ``most`` most frequent words of all texts that occur twice or more; ``most`` bounds what the driver gets."""
+    """The most frequent words of all texts that occur twice or more, ``most`` at most, whole classes of about equal counts.
+
+    The counts are made over everything; a histogram of their logarithms (1,024 classes at most) tells how frequent a
+    word must be, so that the driver gets no more than ``most`` words, whatever the number of partitions.
+    """
     said = df.select(F.explode(F.regexp_extract_all(F.col(text), F.lit(_JAVA_PATTERN), F.lit(1))).alias("w")).groupBy("w").agg(F.count("*").alias("n"))
-    top = said.where((F.col("n") > 1) & (F.octet_length("w") <= 64)).orderBy(F.desc("n"), "w").limit(most)
-    return [r[0] for r in top.select("w").collect()]
+    said = durable(said.where((F.col("n") > 1) & (F.octet_length("w") <= LONG)).select("w", F.floor(F.log2("n") * 16).alias("c")), "words")
+    room, least = most, 1 << 20
+    for c, m in sorted(map(tuple, said.groupBy("c").agg(F.count("*")).collect()), reverse=True):
+        room -= m
+        if room < 0:
+            break
+        least = c
+    return [r[0] for r in said.where(F.col("c") >= least).select("w").collect()]
 
 
 def publish(spark: SparkSession, data: bytes) -> str:
@@ -179,7 +276,7 @@ def encoder(name: str, ranks, split: str, remember: int = 400_000):
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         words_of = regex.compile(split).findall
-        lexicon, known, table = Lexicon.open(SparkFiles.get(name)), {}, ranks.value
+        lexicon, known, (table, pairs) = Lexicon.open(SparkFiles.get(name)), {}, ranks.value
         for b in batches:
             for at in range(0, b.num_rows, 500):
                 part = b.slice(at, 500)
@@ -188,8 +285,16 @@ def encoder(name: str, ranks, split: str, remember: int = 400_000):
                     known.clear()
                 new = [w for w in set(chain.from_iterable(texts)) if w not in known]
                 raw = [w.encode("utf-8", "replace") for w in new]
+                unseen = []
                 for w, r, ids in zip(new, raw, lexicon.find(raw)):
-                    known[w] = merge(r, table) if ids is None else ids
+                    if ids is None:
+                        ids = [table[r]] if r in table else merge(r, table) if len(r) > LONG else None
+                    if ids is None:
+                        unseen.append((w, r))
+                    else:
+                        known[w] = ids
+                for (w, _), ids in zip(unseen, pairs.merge([r for _, r in unseen])):
+                    known[w] = ids
                 lists = [list(chain.from_iterable(map(known.__getitem__, ws))) for ws in texts]
                 ends = np.cumsum([0, *map(len, lists)])
                 ids = pa.array(np.fromiter(chain.from_iterable(lists), np.int32, ends[-1]))
@@ -211,4 +316,4 @@ def encode_corpus(df: DataFrame, key: str, text: str, *, vocabulary: str = VOCAB
     name = publish(spark, Lexicon.build(entries).dump())
     kind = dict(df.dtypes)[key]
     return df.select(F.col(key).alias("_key"), F.col(text).alias("_text")).mapInArrow(
-        encoder(name, spark.sparkContext.broadcast(ranks), split), f"_key {kind}, ids array<int>").withColumnRenamed("_key", key)
+        encoder(name, spark.sparkContext.broadcast((ranks, Pairs(ranks))), split), f"_key {kind}, ids array<int>").withColumnRenamed("_key", key)
