@@ -174,8 +174,9 @@ def near_pairs(rows: DataFrame, *, threshold: float, trees: int = 24, longest: i
     agree = (1 + threshold) / 2
     most_bits = 112 - int(112 * agree - 3.5 * (112 * agree * (1 - agree)) ** 0.5)
     kind = dict(rows.dtypes)["_id"]
-    signed = durable(rows.select("_id", "_text").mapInArrow(signer(trees, depth), f"_id {kind}, _keys array<long>, _s0 long, _s1 long"), "signatures")
-    sampled = signed.where(F.pmod(F.xxhash64("_id"), F.lit(16)) == 0).select(F.explode("_keys").alias("_k")).groupBy("_k").agg(F.count("*").alias("_n"))
+    sign = lambda df: df.select("_id", "_text").mapInArrow(signer(trees, depth), f"_id {kind}, _keys array<long>, _s0 long, _s1 long")
+    signed = sign(rows)
+    sampled = sign(rows.where(F.pmod(F.xxhash64("_id"), F.lit(16)) == 0)).select(F.explode("_keys").alias("_k")).groupBy("_k").agg(F.count("*").alias("_n"))
     crowded = sampled.where(F.col("_n") * 16 > hot).orderBy(F.desc("_n"), "_k").limit(1000).select("_k", F.ceil(F.col("_n") * 32 / hot).alias("_b"))
     entries = signed.select(F.explode("_keys").alias("_k"), "_id", "_s0", "_s1").join(F.broadcast(crowded), "_k", "left")
     own = F.pmod(F.xxhash64("_id", F.lit(7)), F.col("_b"))
