@@ -33,8 +33,11 @@ def sessions(stream: DataFrame, ts: str, gap: str, by: str, late: str = "10 minu
     return rows.groupBy(F.session_window(ts, gap).alias("w"), by).agg(F.count("*").alias("n")).select(by, F.col("w.start").alias("start"), F.col("w.end").alias("end"), "n")
 
 
-def cache_stream(stream: DataFrame, key: str, ts: str, ttl_seconds: int = 60) -> DataFrame:
-    """(key, ts, hit) for each request: state holds when a key was put; a hit doesn't renew it, and it goes after its time to live."""
+def cache_stream(stream: DataFrame, key: str, ts: str, ttl_seconds: int = 60, late: str = "10 seconds") -> DataFrame:
+    """(key, ts, hit) for each request: state holds when a key was put; a hit doesn't renew it.
+
+    State goes when the watermark, ``late`` behind the latest request, passes the time to live.
+    """
 
     def fold(k, batches: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
         if state.hasTimedOut:
@@ -49,11 +52,12 @@ def cache_stream(stream: DataFrame, key: str, ts: str, ttl_seconds: int = 60) ->
             put = put if hit else at
             hits.append(hit)
         state.update((put,))
-        state.setTimeoutDuration(ttl_seconds * 1000)
+        state.setTimeoutTimestamp(max(put // 1000 + ttl_seconds * 1000 + 1, state.getCurrentWatermarkMs() + 1))
         yield pd.DataFrame({key: [k[0]] * len(rows), ts: rows[ts].to_numpy(), "hit": hits})
 
     kind = dict(stream.dtypes)[key]
-    return stream.groupBy(key).applyInPandasWithState(fold, f"{key} {kind}, {ts} timestamp, hit boolean", "put long", "append", GroupStateTimeout.ProcessingTimeTimeout)
+    rows = stream.withColumn(ts, F.col(ts).cast("timestamp")).withWatermark(ts, late)
+    return rows.groupBy(key).applyInPandasWithState(fold, f"{key} {kind}, {ts} timestamp, hit boolean", "put long", "append", GroupStateTimeout.EventTimeTimeout)
 
 
 def run_available(df: DataFrame, checkpoint: str, write, mode: str = "update") -> None:
