@@ -14,14 +14,15 @@ _WIDE = "\u3040-\u30ff\u3400-\u9fff\uf900-\ufaff\U00020000-\U0003ffff"
 _JAVA_WIDE = r"\p{IsHan}\p{IsHiragana}\p{IsKatakana}"
 _WORD = re.compile(rf"[{_WIDE}]|[^\W\d_{_WIDE}]+(?:['’][^\W\d_{_WIDE}]+)*|\d+")
 _PAIR = re.compile(rf"(?=([{_WIDE}]{{2}}))")
-_MARKED = re.compile(r"<a\s[^>]*>.*?</a\s*>|\[[^\]\n]*\]\([^)\s]*\)", re.I | re.S)
-_LABEL = re.compile(r"[^\n|,;·•]*>>")
+# Each pattern starts at a bound of its own or ends at the next candidate, so no text makes it quadratic.
+_MARKED = re.compile(r"<a\s[^<>]*>[^<]*</a\s*>|\[[^\[\]\n]*\]\([^()\s]*\)", re.I)
+_LABEL = re.compile(r"(?:^|(?<=[\n|,;·•]))[^\n|,;·•]*>>")
 _DOT = re.compile(r"\.[^\W\d_]|://|\]\(|<a\s", re.I)
-_URL = re.compile(r"(?:https?://|www\.)\S+|(?<![\w@])(?:[\w-]+\.)+(?:[a-z]{2,})(?:/\S*)?", re.I)
+_URL = re.compile(r"(?:https?://|www\.)\S+|(?<![\w@.-])(?:[\w-]+\.)+(?:[a-z]{2,})(?:/\S*)?", re.I)
 _TAG = re.compile(r"(?<!\S)[#+@][^\s,;|·•]+")
-_PARTS = re.compile(r"[\n\r]+|(?<=[.!?…])\s+|(?<=[。！？])|\s+[|·•–—-]\s+|[|·•;]")
+_PARTS = re.compile(r"[\n\r]+|(?<=[.!?…])\s+|(?<=[。！？])|(?<!\s)\s+[|·•–—-]\s+|[|·•;]")
 _ITEMS = re.compile(r"[\n\r,，、;；|·•/\[\]]+|\s[-–—>+]+\s")
-_JOINED = re.compile(r"[^\W_]+(?:[_-][^\W_]+)+")
+_JOINED = re.compile(r"(?<![^\W_])[^\W_]+(?:[_-][^\W_]+)+")
 _KEY = re.compile(r"[\W_]+")
 
 
