@@ -174,7 +174,7 @@ def scorer(weights, codes: list[str]):
 
 
 #: Lead of the best score over the second below which a sentence also heeds its document.
-CLOSE = 0.5
+CLOSE = 0.25
 
 
 def languages(df: DataFrame, key: str, text: str, lang: str, codes: list[str], *, documents: int = 400, sentences: int = 1000) -> DataFrame:
