@@ -123,7 +123,7 @@ def training_sentences(df: DataFrame, key: str, text: str, lang: str, codes: lis
     named = df.select(key, label(F.col(lang), codes).alias("_l"), F.xxhash64(key).alias("_h")).where("_l is not null")
     chosen = named.withColumn("_r", F.row_number().over(Window.partitionBy("_l").orderBy("_h", key))).where(F.col("_r") <= documents)
     texts = df.select(key, F.col(text).alias("_t")).join(F.broadcast(chosen.select(key, "_l").distinct()), key)
-    said = texts.select("_l", F.explode(F.split("_t", _END)).alias("_s")).where((F.length("_s") >= 20) & (F.length("_s") <= 400) & F.col("_s").rlike(r"[.!?。！？]$"))
+    said = texts.select("_l", F.explode(F.split("_t", _END)).alias("_s")).where((F.length("_s") >= 8) & (F.length("_s") <= 400) & F.col("_s").rlike(r"[.!?。！？]$"))
     rows = said.withColumn("_r", F.row_number().over(Window.partitionBy("_l").orderBy(F.xxhash64("_s"), "_s"))).where(F.col("_r") <= sentences)
     return sorted(tuple(r) for r in rows.select("_l", "_s").collect())
 
