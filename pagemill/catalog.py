@@ -352,6 +352,15 @@ def search_phrase_scan(spark, d):
     return _tenths(_index(spark, d).search("a site:mallorix.shop.example"))
 
 
+@query()
+def search_bpe(spark, d):
+    """The same search over tokens of a trained byte-pair vocabulary instead of words."""
+    docs = table(spark, d, "doc_meta")
+    v = bpe.train(docs, "doc_id", "title", 2000)
+    post = index.postings(docs, "doc_id", v.encoder(spark, "array<string>")(F.lower(index.index_text())))
+    return _tenths(search.page(search.SearchIndex(docs, post, tokenize=v.tokenize).search("Linen sofa")))
+
+
 @query(f"""WITH s AS (SELECT doc_id, {d_strip("coalesce(title, '')")} AS t, {d_strip("coalesce(domain, '')")} AS dm FROM doc_meta) SELECT doc_id, {_FOLD} AS fold FROM s""")
 def fold_titles(spark, d):
     return table(spark, d, "doc_meta").select("doc_id", text.fold_key(F.coalesce("title", F.lit("")), F.coalesce("domain", F.lit(""))).alias("fold"))

@@ -23,8 +23,10 @@ def tokens(text: Column) -> Column:
     """ASCII words of two characters or more in lower case, then every Han character, then pairs of neighbours among these."""
     words = F.regexp_extract_all(F.lower(text), F.lit("[0-9a-z]{2,}"), F.lit(0))
     han = F.regexp_extract_all(text, F.lit(f"[{_HAN}]"), F.lit(0))
-    pairs = F.when(F.size(han) > 1, F.zip_with(F.slice(han, 1, F.greatest(F.size(han) - 1, F.lit(0))), F.slice(han, 2, F.size(han)), lambda a, b: F.concat(a, b))).otherwise(F.array().cast("array<string>"))
-    return F.concat(words, han, pairs)
+    # the list of characters is bound once, as the only element of a list
+    both = F.transform(F.array(han), lambda h: F.concat(h, F.when(F.size(h) > 1, F.zip_with(F.slice(h, 1, F.greatest(F.size(h) - 1, F.lit(0))), F.slice(h, 2, F.size(h)), lambda a, b: F.concat(a, b)))
+                                                        .otherwise(F.array().cast("array<string>"))))
+    return F.concat(words, F.flatten(both))
 
 
 def chunk_of(word: Column) -> Column:
