@@ -125,4 +125,9 @@ WITH d AS (SELECT doc_id, rtrim(trim(lower(domain), {_CHARS}), '.' || {_CHARS})
 h AS (SELECT hit_id, row_number() OVER (PARTITION BY d.domain ORDER BY CASE WHEN isnan(score) THEN NULL ELSE score END DESC NULLS LAST, hit_id) AS r
       FROM search_hits JOIN d USING (doc_id) WHERE d.domain <> '')
 SELECT hit_id FROM h WHERE r > 20""",
+        "p6_found": r"""
+WITH t AS (SELECT doc_id, trim(regexp_replace(lower(coalesce(title, '') || ' ' || coalesce(description, '')), '[^\p{L}\p{N}]+', ' ', 'g')) AS c FROM doc_meta),
+g AS (SELECT DISTINCT doc_id, unnest(list_transform(range(1, length(c) - 1), lambda i: substr(c, i, 3))) AS g FROM t WHERE length(c) >= 80),
+n AS (SELECT doc_id, count(*) AS n FROM g GROUP BY 1), p AS (SELECT a.doc_id AS a, b.doc_id AS b, count(*) AS c FROM g a JOIN g b ON a.g = b.g AND a.doc_id < b.doc_id GROUP BY ALL)
+SELECT a AS doc_id_a, b AS doc_id_b FROM p JOIN n x ON x.doc_id = a JOIN n y ON y.doc_id = b WHERE c >= 0.7 * (x.n + y.n - c)""",
     }
