@@ -79,3 +79,13 @@ def save_results(results: DataFrame, path: str) -> None:
 
     if results.take(1):
         results.select(F.concat_ws("\t", *[clean_tsv(F.coalesce(F.col(n), F.lit(""))) for n in ("title", "url", "snippet", "engine")]).alias("value")).write.mode("overwrite").text(path)
+
+
+def write_list(df: DataFrame, order: list[str], column: str, path: str) -> None:
+    """One text file of a column in order: names of a dry run, discovered domains."""
+    df.orderBy(*order).select(F.col(column).cast("string").alias("value")).coalesce(1).write.mode("overwrite").text(path)
+
+
+def overwrite(df: DataFrame, path: str) -> None:
+    """Small state tables (vocabularies, blocklists, tasks, counters), written whole."""
+    df.write.mode("overwrite").parquet(path)

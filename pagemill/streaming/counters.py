@@ -6,6 +6,7 @@ from collections.abc import Iterator
 
 import pandas as pd
 from pyspark.sql import DataFrame, SparkSession, functions as F
+from pyspark.sql.streaming import StreamingQueryListener
 from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
 
 from pagemill.operators.stats import query_key
@@ -74,3 +75,28 @@ def counts_of_files(spark: SparkSession, path: str, schema, work: str, query: st
     run_available(running_counts(read_log(spark, path, schema), query), f"{work}/checkpoint", write, "complete")
     last = spark.read.parquet(f"{work}/last").first()[0]
     return spark.read.parquet(f"{work}/out/{last:08d}")
+
+
+def start_flushing(df: DataFrame, checkpoint: str, write, every: str = "60 seconds", mode: str = "update"):
+    """A running stream whose results go to ``write(batch, number)`` at most once in ``every``; the caller stops it."""
+    return df.writeStream.outputMode(mode).option("checkpointLocation", checkpoint).trigger(processingTime=every).foreachBatch(write).start()
+
+
+class Progress(StreamingQueryListener):
+    """Calls ``tell(number, rows, rows per second)`` after each batch of any stream of the session."""
+
+    def __init__(self, tell):
+        self.tell = tell
+
+    def onQueryStarted(self, event) -> None:
+        pass
+
+    def onQueryProgress(self, event) -> None:
+        p = event.progress
+        self.tell(p.batchId, p.numInputRows, p.processedRowsPerSecond)
+
+    def onQueryIdle(self, event) -> None:
+        pass
+
+    def onQueryTerminated(self, event) -> None:
+        pass

@@ -206,3 +206,30 @@ def test_files(spark, tmp_path):
     assert [tuple(x) for x in files.cached_results(spark, str(tmp_path / "cache")).collect()] == [("t 1", "u", "", "e")]
     files.save_pages(spark.createDataFrame([("http://A.example/x?y", "h"), ("bad", "h")], "url string, html string"), str(tmp_path / "pages"))
     assert [(r["domain"], r["file"]) for r in spark.read.parquet(str(tmp_path / "pages")).collect()] == [("a.example", "_x_y.html")]
+
+
+def test_tools(spark, tmp_path):
+    from pagemill.operators.tools import Tools, context
+
+    docs = spark.createDataFrame(CORPUS, DOCS)
+    tools = Tools(search.SearchIndex.from_df(docs), spark.createDataFrame([("A",), ("a ",)], "query string"))
+    assert tools.search("home", 1, 1000).count() == tools.search("home", 0, 0).count() + 1
+    assert [r["line"] for r in context(tools.search("home")).orderBy("rank").collect()][0].startswith("1. Smart home")
+    assert tools.suggest("ho", 500).count() == 2 and tools.status().first()["documents"] == 4 and tools.top_queries().first()["n"] == 2
+    assert tools.duplicates(0, 0).count() <= 1
+    xml = tools.sitemap(spark.createDataFrame([("a.example", '<a href="/x">')], "domain string, html string")).first()["xml"]
+    assert "<loc>https://a.example/x</loc>" in xml
+    files.write_list(spark.createDataFrame([(2, "b"), (1, "a")], "n int, v string"), ["n"], "v", str(tmp_path / "l"))
+    assert [r[0] for r in spark.read.text(str(tmp_path / "l")).collect()] == ["a", "b"]
+
+
+def test_flush_and_progress(spark, tmp_path):
+    spark.createDataFrame([("x",)], "query string").coalesce(1).write.parquet(str(tmp_path / "in"))
+    told, out = [], []
+    listener = counters.Progress(lambda *x: told.append(x))
+    spark.streams.addListener(listener)
+    q = counters.start_flushing(counters.running_counts(counters.read_log(spark, str(tmp_path / "in"), "query string")), str(tmp_path / "cp"), lambda b, n: out.extend(b.collect()), "1 second")
+    q.processAllAvailable()
+    q.stop()
+    spark.streams.removeListener(listener)
+    assert [tuple(r) for r in out] == [("x", 1)]
