@@ -545,7 +545,7 @@ def dns_route_sinks(spark, d):
     return names.routed(names.retried(_observations(spark, d)))
 
 
-@query(f"WITH {_D_RETRY} SELECT count(*) AS total, count_if(status = 'registered') AS registered, count_if(status = 'available') AS available, count_if(status = 'error') AS errors, CAST(0 AS BIGINT) AS skipped FROM st")
+@query(f"WITH {_D_RETRY} SELECT count(*) AS total, count(*) FILTER (status = 'registered') AS registered, count(*) FILTER (status = 'available') AS available, count(*) FILTER (status = 'error') AS errors, CAST(0 AS BIGINT) AS skipped FROM st")
 def scan_counters(spark, d):
     return names.scan_counters(names.retried(_observations(spark, d)))
 
@@ -651,7 +651,7 @@ def best_body(spark, d):
     return crawl.best_body(rows(spark, "id int, url string, status int, html string", V_FETCH))
 
 
-@query(f"WITH {values_sql('v', 'id, url, status, html', V_FETCH)} SELECT count_if(status = 200) AS fetched, count_if(status BETWEEN 300 AND 399) AS redirects, count_if(status IS NULL OR status >= 400) AS failed FROM v")
+@query(f"WITH {values_sql('v', 'id, url, status, html', V_FETCH)} SELECT count(*) FILTER (status = 200) AS fetched, count(*) FILTER (status BETWEEN 300 AND 399) AS redirects, count(*) FILTER (status IS NULL OR status >= 400) AS failed FROM v")
 def crawl_stats(spark, d):
     return crawl.crawl_stats(rows(spark, "id int, url string, status int, html string", V_FETCH))
 
@@ -737,7 +737,7 @@ def latency_avg(spark, d):
     return stats.latency(table(spark, d, "query_log"))
 
 
-@query("SELECT count_if(from_cache) AS hits, count_if(NOT from_cache) AS misses, coalesce(round(count_if(from_cache) / nullif(count_if(from_cache) + count_if(NOT from_cache), 0), 6), 0) AS rate FROM query_log")
+@query("SELECT count(*) FILTER (from_cache) AS hits, count(*) FILTER (NOT from_cache) AS misses, coalesce(round(count(*) FILTER (from_cache) / nullif(count(*) FILTER (from_cache) + count(*) FILTER (NOT from_cache), 0), 6), 0) AS rate FROM query_log")
 def hit_rate(spark, d):
     return stats.hit_rate(table(spark, d, "query_log"))
 
