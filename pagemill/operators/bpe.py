@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import heapq
 from collections import defaultdict
 from collections.abc import Iterator
 from dataclasses import dataclass, field
@@ -64,12 +65,17 @@ class Vocabulary:
             for p in zip(s, s[1:]):
                 counts[p] += 1
                 where[p].add(i)
-        while len(v.tokens) < size and counts:
-            best = min(counts, key=lambda p: (-counts[p], p))
-            if counts[best] < 2:
+        heap = [(-n, p) for p, n in counts.items()]  # entries whose count has changed since are skipped
+        heapq.heapify(heap)
+        while len(v.tokens) < size and heap:
+            n, best = heapq.heappop(heap)
+            if counts.get(best, 0) != -n:
+                continue
+            if n > -2:
                 break
             new = v._merge(*best)
             counts.pop(best)
+            changed = set()
             for i in where.pop(best):
                 s, out, at = seqs[i], [], 0
                 while at < len(s):
@@ -81,11 +87,15 @@ class Vocabulary:
                         at += 1
                 for p, by in ((p, by) for seq, by in ((s, -1), (out, 1)) for p in zip(seq, seq[1:]) if p != best):
                     counts[p] += by
+                    changed.add(p)
                     if by > 0:
                         where[p].add(i)
-                    if counts[p] <= 0:
-                        del counts[p]
                 seqs[i] = out
+            for p in changed:
+                if counts[p] > 0:
+                    heapq.heappush(heap, (-counts[p], p))
+                else:
+                    del counts[p]
         for s in seqs:
             last = s[0] if s else 0
             for t in s[1:]:
@@ -96,16 +106,27 @@ class Vocabulary:
 
     def encode(self, text: str) -> list[int]:
         """Ids of the words of a text, each merged by lowest rank first, leftmost first."""
-        out: list[int] = []
-        for w in text.split():
-            s = [b + 1 for b in w.encode("utf-8", "replace")]
-            while len(s) > 1:
-                r, i = min((self.rank.get(p, 1 << 60), i) for i, p in enumerate(zip(s, s[1:])))
-                if r == 1 << 60:
-                    break
-                s[i:i + 2] = [self.merges[r][2]]
-            out += s
-        return out
+        return [i for w in text.split() for i in self._word([b + 1 for b in w.encode("utf-8", "replace")])]
+
+    def _word(self, s: list[int]) -> list[int]:
+        """Pairs wait in a heap, parts are linked: n log n steps for a word of n bytes, as long as words without spaces can be."""
+        n = len(s)
+        after, before = list(range(1, n + 1)), list(range(-1, n - 1))
+        heap = [(r, i) for i in range(n - 1) if (r := self.rank.get((s[i], s[i + 1]))) is not None]
+        heapq.heapify(heap)
+        while heap:
+            r, i = heapq.heappop(heap)
+            j = after[i]
+            if s[i] < 0 or j >= n or self.rank.get((s[i], s[j])) != r:
+                continue
+            s[i], s[j] = self.merges[r][2], -1
+            after[i] = after[j]
+            if after[j] < n:
+                before[after[j]] = i
+            for k in (before[i], i):
+                if k >= 0 and after[k] < n and (q := self.rank.get((s[k], s[after[k]]))) is not None:
+                    heapq.heappush(heap, (q, k))
+        return [x for x in s if x >= 0]
 
     def decode(self, ids: list[int]) -> str:
         return b"".join(self.tokens[i] for i in ids if i and i < len(self.tokens)).decode("utf-8", "replace")

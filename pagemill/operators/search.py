@@ -94,12 +94,11 @@ class SearchIndex:
 
 
 def fold(scored: DataFrame) -> DataFrame:
-    """The best row of each fold (score, then doc_id) and ``fold_count``, by aggregation with map-side combine: no fold is gathered or sorted."""
-    best = F.struct((-F.col("score")).alias("s"), F.col("doc_id").alias("i"))
+    """The best row of each fold (score, then doc_id) and ``fold_count``: one aggregation with map-side combine, so no fold is gathered or sorted
+    and the scores are made once."""
     key = F.coalesce(fold_key(F.coalesce("title", F.lit("")), F.coalesce("domain", F.lit(""))), F.lit(""))
-    rows = scored.withColumn("_fold", key)
-    tops = rows.groupBy("_fold").agg(F.min(best).alias("_b"), F.count("*").alias("fold_count")).select(F.col("_b.i").alias("doc_id"), "fold_count")
-    return rows.drop("_fold").join(tops, "doc_id")
+    best = F.min_by(F.struct(*[F.col(c) for c in scored.columns]), F.struct((-F.col("score")).alias("s"), F.col("doc_id").alias("i")))
+    return scored.groupBy(key.alias("_fold")).agg(best.alias("_b"), F.count("*").alias("fold_count")).select("_b.*", "fold_count")
 
 
 def page(hits: DataFrame, number: int = 1, size: int = 10) -> DataFrame:
