@@ -18,6 +18,11 @@ BINS = 64
 FUNCTIONS = (0x9E3779B97F4A7C15, 0xC2B2AE3D27D4EB4F, 0xD6E8FEB86659FD93, 0xA0761D6478BD642F)
 _MIX = np.uint64(0xFF51AFD7ED558CCD)
 _EMPTY = np.uint32(0xFFFFFFFF)
+#: Texts of so many unlike grams at most get a function of their own for each value: bins they can't fill would borrow the same few values.
+FEW = 64
+#: Bits of a sketch, and the numbers of unlike grams at which recall is measured, for texts of few grams and for others.
+BITS = 112
+SIZES = ((3, 4, 6, 8, 12, 16, 24, 32, 48, FEW), (45, 56, FEW, 80, 96, 128, 192, 256, 400))
 
 
 def clean(c: Column) -> Column:
@@ -25,14 +30,6 @@ def clean(c: Column) -> Column:
     return F.trim(F.regexp_replace(F.lower(c), r"[^\p{L}\p{N}]+", " "))
 
 
-def depth_for(trees: int, threshold: float, recall: float, most: int) -> int:
-    """The longest prefix at which a pair at the threshold still meets in one of the tries with probability ``recall``."""
-    for k in range(most, 1, -1):
-        if 1 - (1 - threshold**k) ** trees >= recall:
-            return k
-    return 1
-
-
 def grams(texts: list[str]) -> tuple[np.ndarray, np.ndarray]:
     """All substrings of three characters as exact 63-bit numbers, and the text each is from."""
     c = np.frombuffer("".join(texts).encode("utf-32-le", "surrogatepass"), np.uint32).astype(np.uint64)
@@ -50,7 +47,11 @@ def minhashes(texts: list[str]) -> np.ndarray:
 
     An empty bin borrows from the next full one (densified one-permutation hashing).
     """
-    g, own = grams(texts)
+    return binned(*grams(texts), len(texts))
+
+
+def binned(g: np.ndarray, own: np.ndarray, texts: int) -> np.ndarray:
+    """The signatures of ``minhashes`` from the grams ``g`` of the texts ``own``."""
     out = []
     with np.errstate(over="ignore"):
         for m in FUNCTIONS:
@@ -58,7 +59,7 @@ def minhashes(texts: list[str]) -> np.ndarray:
             h ^= h >> np.uint64(32)
             h *= _MIX
             h ^= h >> np.uint64(29)
-            least = np.full(len(texts) * BINS, _EMPTY)
+            least = np.full(texts * BINS, _EMPTY)
             np.minimum.at(least, own * BINS + (h >> np.uint64(58)).astype(np.int64), (h & np.uint64(0xFFFFFFFE)).astype(np.uint32))
             least = least.reshape(-1, BINS)
             full, missing = least, least == _EMPTY
@@ -75,24 +76,110 @@ def minhashes(texts: list[str]) -> np.ndarray:
     return np.concatenate(out, 1)
 
 
-def signer(trees: int, depth: int):
-    """Arrow function: (_id, _text) to (_id, _keys: the prefix of each trie, _s0 and _s1: a sketch of one bit a value)."""
+def unlike(g: np.ndarray, own: np.ndarray, texts: int) -> np.ndarray:
+    """The number of unlike grams of each of at most 2,048 texts, grams told apart by 53 bits."""
+    with np.errstate(over="ignore"):
+        h = g * np.uint64(FUNCTIONS[0])
+        h ^= h >> np.uint64(32)
+        h = np.sort(own.astype(np.uint64) << np.uint64(53) | h * _MIX >> np.uint64(11))
+    return np.bincount((h[np.flatnonzero(np.diff(h, prepend=~h[:1]))] >> np.uint64(53)).astype(np.int64), minlength=texts)
+
+
+def independent(g: np.ndarray, own: np.ndarray, texts: int) -> np.ndarray:
+    """Signatures of as many values, each the least of all grams by a function of its own; ``own`` ascends and every text has a gram."""
+    out = np.empty((texts, len(FUNCTIONS) * BINS), np.uint32)
+    starts = np.flatnonzero(np.diff(own, prepend=-1))
+    with np.errstate(over="ignore"):
+        for i in range(out.shape[1]):
+            h = (g ^ np.uint64(i + 1) * np.uint64(FUNCTIONS[1])) * np.uint64(FUNCTIONS[0])
+            h ^= h >> np.uint64(32)
+            h *= _MIX
+            h ^= h >> np.uint64(29)
+            x = np.minimum.reduceat((h >> np.uint64(16)).astype(np.uint32), starts) * np.uint32(0x85EBCA6B)
+            out[:, i] = x ^ (x >> np.uint32(15))
+    return out
+
+
+def prefixes(sig: np.ndarray, trees: int, depth: int, kind: int) -> np.ndarray:
+    """The node of each trie that the first ``depth`` values lead to, as a 64-bit hash; ``kind`` of signatures have tries of their own."""
+    keys = np.tile(np.arange(trees, dtype=np.uint64) + np.uint64(kind * trees), (len(sig), 1))
+    with np.errstate(over="ignore"):
+        for k in range(depth):
+            keys = (keys ^ sig[:, k * trees:(k + 1) * trees]) * np.uint64(FUNCTIONS[0])
+            keys ^= keys >> np.uint64(31)
+    return keys
+
+
+def sketch(sig: np.ndarray) -> np.ndarray:
+    return (sig[:, -BITS:] >> np.uint32(9) & np.uint32(1)).astype(np.uint64)
+
+
+def bits_for(threshold: float) -> int:
+    """Bits in which sketches of a pair at the threshold differ at most, 3.5 standard deviations granted."""
+    agree = (1 + threshold) / 2
+    return BITS - int(BITS * agree - 3.5 * (BITS * agree * (1 - agree)) ** 0.5)
+
+
+def made_pairs(pool: np.ndarray, size: int, threshold: float, pairs: int, rng) -> tuple[tuple[np.ndarray, np.ndarray], tuple[np.ndarray, np.ndarray]]:
+    """(grams, owner) of ``pairs`` sets of ``size`` grams of ``pool``, and of their partners, as little above the threshold as can be."""
+    options = [((size - x) / (size + y), x, y) for x in range(size) for y in (x - 1, x, x + 1) if y >= 0 and x + y and (size - x) / (size + y) >= threshold]
+    _, x, y = min(options, default=(1.0, 0, 0))
+    n = size + y
+    at = np.concatenate([rng.choice(len(pool), n, replace=False) for _ in range(pairs)]).reshape(pairs, n)
+    sets = pool[at]
+    return tuple((part.ravel(), np.repeat(np.arange(pairs), part.shape[1])) for part in (sets[:, :size], sets[:, x:]))
+
+
+def measured(texts: list[str], threshold: float, trees: int, longest: int, pairs: int = 400) -> list[list[list[float]]]:
+    """Recall of both kinds of signatures, at each of SIZES, with prefixes of 1 to ``longest`` values, sketches taken into account.
+
+    Pairs whose exact similarity is right at the threshold are made of the grams of ``texts``: those the data holds are too few
+    for most numbers of grams, and nearer pairs would flatter.
+    """
+    rng = np.random.default_rng(6)
+    pool = np.unique(grams(texts)[0])
+    if len(pool) < 1000:
+        pool = np.unique(np.concatenate([pool, rng.integers(0, 1 << 62, 1000, dtype=np.int64).astype(np.uint64)]))
+    out = []
+    for sizes, signatures in zip(SIZES, (independent, binned)):
+        found = []
+        for size in sizes:
+            a, b = (signatures(g, own, pairs) for g, own in made_pairs(pool, size, threshold, pairs, rng))
+            near = (sketch(a) != sketch(b)).sum(1) <= bits_for(threshold)
+            same = (a == b)[:, : trees * longest].reshape(pairs, longest, trees)
+            found.append([float((same[:, :d].all(1).any(1) & near).mean()) for d in range(1, longest + 1)])
+        out.append(found)
+    return out
+
+
+def depths_for(recalls: list[list[list[float]]], recall: float) -> list[int]:
+    """For each kind of signatures, the longest prefix with which ``recall`` is reached at every number of grams, else one value."""
+    return [max([d for d in range(1, len(found[0]) + 1) if min(r[d - 1] for r in found) >= recall], default=1) for found in recalls]
+
+
+def signer(trees: int, depths: list[int], threshold: float):
+    """Arrow function: (_id, _text) to (_id, _keys: the prefix of each trie, _s0 and _s1: a sketch of one bit a value).
+
+    Texts of FEW unlike grams or fewer have signatures of the first kind; others, and those similar texts of more may have, of the second.
+    """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
             for at in range(0, b.num_rows, 2000):
                 part = b.slice(at, 2000)
-                sig = minhashes(part.column(1).to_pylist())
-                keys = np.tile(np.arange(trees, dtype=np.uint64), (len(sig), 1))
-                with np.errstate(over="ignore"):
-                    for k in range(depth):
-                        keys = (keys ^ sig[:, k * trees:(k + 1) * trees]) * np.uint64(FUNCTIONS[0])
-                        keys ^= keys >> np.uint64(31)
-                bits = (sig[:, -112:] >> np.uint32(9) & np.uint32(1)).astype(np.uint64)
-                s = [(bits[:, i:i + 56] << np.arange(56, dtype=np.uint64)).sum(1, dtype=np.uint64).astype(np.int64) for i in (0, 56)]
-                flat = pa.array(keys.astype(np.int64).ravel())
-                lists = pa.ListArray.from_arrays(pa.array(np.arange(len(sig) + 1, dtype=np.int32) * trees), flat)
-                yield pa.record_batch([part.column(0), lists, pa.array(s[0]), pa.array(s[1])], names=["_id", "_keys", "_s0", "_s1"])
+                texts = part.column(1).to_pylist()
+                g, own = grams(texts)
+                n = unlike(g, own, len(texts))
+                for kind, which, signatures in ((0, (n > 0) & (n <= FEW), independent), (1, n >= threshold * FEW, binned)):
+                    if not which.any():
+                        continue
+                    mine, row = which[own], np.cumsum(which) - 1
+                    sig = signatures(g[mine], row[own[mine]], int(which.sum()))
+                    keys, bits = prefixes(sig, trees, depths[kind], kind), sketch(sig)
+                    s = [(bits[:, i:i + 56] << np.arange(56, dtype=np.uint64)).sum(1, dtype=np.uint64).astype(np.int64) for i in (0, 56)]
+                    flat = pa.array(keys.astype(np.int64).ravel())
+                    lists = pa.ListArray.from_arrays(pa.array(np.arange(len(sig) + 1, dtype=np.int32) * trees), flat)
+                    yield pa.record_batch([part.column(0).filter(pa.array(which)), lists, pa.array(s[0]), pa.array(s[1])], names=["_id", "_keys", "_s0", "_s1"])
 
     return run
 
@@ -162,19 +249,19 @@ def representatives(df: DataFrame, key: str, text: Column, least: int) -> tuple[
 def near_pairs(rows: DataFrame, *, threshold: float, trees: int = 24, longest: int = 6, recall: float = 0.95, hot: int = 4096) -> DataFrame:
     """All pairs (a, b, similarity) of unlike texts (_id, _text) at ``threshold`` or above, a < b, similarity exact.
 
-    Each of ``trees`` tries holds prefixes of MinHash values; sorting by prefix makes a trie's neighbours stand together.  The matched prefix
-    starts at ``longest`` values and is shortened until a pair right at the threshold is met with probability
-    ``recall``; nearer pairs are met far more often (0.7 and 24 tries: 6 values, 0.95; at 0.75, 0.99; at 0.85, above 0.9999).
+    Each of ``trees`` tries holds prefixes of MinHash values.  The matched prefix starts at ``longest`` values and is shortened until
+    ``recall`` is reached by pairs right at the threshold, whatever their number of unlike grams: measured on pairs of known
+    similarity made of the grams of 1,000 rows (``measured``), with signatures of two kinds, as bins fail texts of few grams.
     A pair is looked at where its prefixes meet: first by sketches of 112 bits, with a bound 3.5 standard
     deviations below what the threshold gives, then exactly.
     Buckets of more than about ``hot`` rows (found by the counts of a 16th of the rows; this only spreads work) are cut into
     blocks; each pair of blocks is a bucket of its own, so none is capped.
     """
-    depth = depth_for(trees, threshold, recall, longest)
-    agree = (1 + threshold) / 2
-    most_bits = 112 - int(112 * agree - 3.5 * (112 * agree * (1 - agree)) ** 0.5)
+    some = rows.where(F.pmod(F.xxhash64("_id"), F.lit(16)) == 0).select(F.substring("_text", 1, 1000)).limit(1000).collect()
+    depths = depths_for(measured([r[0] for r in some], threshold, trees, longest), recall)
+    most_bits = bits_for(threshold)
     kind = dict(rows.dtypes)["_id"]
-    sign = lambda df: df.select("_id", "_text").mapInArrow(signer(trees, depth), f"_id {kind}, _keys array<long>, _s0 long, _s1 long")
+    sign = lambda df: df.select("_id", "_text").mapInArrow(signer(trees, depths, threshold), f"_id {kind}, _keys array<long>, _s0 long, _s1 long")
     signed = sign(rows)
     sampled = sign(rows.where(F.pmod(F.xxhash64("_id"), F.lit(16)) == 0)).select(F.explode("_keys").alias("_k")).groupBy("_k").agg(F.count("*").alias("_n"))
     crowded = sampled.where(F.col("_n") * 16 > hot).orderBy(F.desc("_n"), "_k").limit(1000).select("_k", F.ceil(F.col("_n") * 32 / hot).alias("_b"))

@@ -207,6 +207,28 @@ def test_forest(spark, hot):
     assert forest.all_pairs(*none).count() == 0 and forest.groups(*none).count() == 0
 
 
+def test_forest_finds_texts_of_few_grams(spark):
+    """Texts of 80 characters or more that say a few words again and again: their grams are too few for bins."""
+    texts, alphabet = [], string.ascii_lowercase + string.digits
+    for _ in range(250):
+        cycle = RNG.sample(alphabet, RNG.randrange(5, 30))
+        for t in (cycle, cycle[: len(cycle) // 2] + cycle[len(cycle) // 2 + 1:] if len(cycle) < 20 else [*cycle[:9], "é", *cycle[10:]]):
+            texts.append("".join(t) * 60)
+    df = spark.createDataFrame(list(enumerate(texts)), "k long, t string")
+    pairs, copies = forest.near_duplicates(df, "k", F.col("t"), threshold=0.7, least=80)
+    got = {(r["a"], r["b"]) for r in pairs.collect()}
+    want = {(i, j) for i in range(len(texts)) for j in range(i + 1, len(texts)) if forest.similarity(texts[i], texts[j]) >= 0.7}
+    assert len(want) > 100 and got <= want and len(want - got) <= 0.05 * len(want)
+
+
+@pytest.mark.parametrize("threshold", [0.6, 0.7, 0.85])
+def test_forest_depth_is_measured_at_every_number_of_grams(threshold):
+    found = forest.measured([" ".join(word() for _ in range(20)) for _ in range(200)], threshold, 24, 6)
+    depths = forest.depths_for(found, 0.95)
+    assert all(r[d - 1] >= 0.95 for d, kind in zip(depths, found) for r in kind)
+    assert all(d == 6 or min(r[d] for r in kind) < 0.95 for d, kind in zip(depths, found))
+
+
 # ------------------------------------------------------------------------------------------------------- problems 7, 8
 WILD = ["", None, "   ", "\r\n\t ", "Hello world's <|endoftext|>", "漢字かな交じり文、🙂👍🏽", "a" * 3000, "x" * 70 + " " + "é" * 200, " 　 z", "퟿￿\x00", "I'll've 12 345", "İẞ ß"]
 
