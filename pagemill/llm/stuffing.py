@@ -132,16 +132,48 @@ def head(keyword: str, width: float = 14) -> str:
     return s
 
 
+def marks(keyword: str, bare: str) -> set[str]:
+    """What a keyword can share with its variations, wherever it stands: words, pairs of wide characters, its start where words are joined."""
+    found = {w for w in words(keyword) if len(w) > 2}
+    if bare.isascii():
+        found.add("^" + bare[:14])
+    else:
+        found.update(_PAIR.findall(keyword))
+        found.add("^" + head(keyword))
+    return found
+
+
+def families(marked: list[set[str]], most: int) -> float:
+    """The share of keywords that ``most`` marks cover at most, the commonest among those left first; each is in two keywords or more."""
+    left, n = marked, len(marked)
+    for _ in range(most):
+        counts = Counter(m for ms in left for m in ms)
+        best, times = max(counts.items(), key=lambda x: (x[1], x[0]), default=("", 0))
+        if times < 2:
+            break
+        left = [ms for ms in left if best not in ms]
+    return 1 - len(left) / n
+
+
 def stuffed_keywords(keywords) -> bool:
-    """Whether a list is more than a moderate one: 34 keywords or more of which most share their starts, or whole cycles."""
+    """Whether a list of six or more is links or tags for the most part, a phrase for each six or more with changing words, or whole cycles."""
     if keywords is None:
         return False
-    heads = [h for h in (head(k) for k in keywords if k) if h]
-    n = len(heads)
-    if n >= 34 and len(set(heads)) <= 0.65 * n:
+    kept = [(k, bare) for k in keywords if k and (bare := _KEY.sub("", k.lower()))]
+    n = len(kept)
+    if n < 6:
+        return False
+    if 2 * sum(1 for k, _ in kept if _TAG.match(k) or _URL.match(k)) > n:
         return True
-    kinds = len(set(heads))
-    return n >= 6 and n >= 2 * kinds and n % kinds == 0 and all(heads[i] == heads[i % kinds] for i in range(n))
+    bares = [bare for _, bare in kept]
+    kinds = len(set(bares))
+    if n >= 2 * kinds and n % kinds == 0 and all(bares[i] == bares[i % kinds] for i in range(n)):
+        return True
+    marked = [marks(k, bare) for k, bare in kept]
+    # no choice covers more than the commonest together: most lists are settled by that
+    if sum(times for _, times in Counter(m for ms in marked for m in ms).most_common(n // 6)) < 0.9 * n:
+        return False
+    return families(marked, n // 6) >= 0.9
 
 
 def stuffed_pages(df: DataFrame, key: str, text: str, keywords: str) -> DataFrame:

@@ -173,6 +173,18 @@ def test_stuffed():
     assert stuffing.stuffed_keywords([f"waterproof teapot {word()}" for _ in range(40)]) and not stuffing.stuffed_keywords([word() for _ in range(60)])
 
 
+def test_stuffed_keywords_whole():
+    """Variations of a phrase are told wherever the changing word stands and however long the list; links and tags as such."""
+    for n in (6, 12, 20, 60):
+        assert stuffing.stuffed_keywords([f"{word()} linen sofa" for _ in range(n)])
+        assert stuffing.stuffed_keywords([f"sofa {word()}" for _ in range(n)])
+        assert stuffing.stuffed_keywords([f"#{word()}" for _ in range(n)]) and stuffing.stuffed_keywords([f"http://{word()}.example" for _ in range(n)])
+        assert not stuffing.stuffed_keywords([f"{word()} {word()}" for _ in range(n)])
+    assert stuffing.stuffed_keywords([f"{word()} 海滨枕头" for _ in range(8)])
+    assert not stuffing.stuffed_keywords(["linen sofa", "cheap sofa", "red lamp", "old chair", "tea pot", "tin roof", "oak desk"])
+    assert not stuffing.stuffed_keywords(["cours de musique", "sauvegarde de données", "sauvegarde de données", "animaux de compagnie", "moteurs de recherche", "animaux de compagnie"])
+
+
 def test_stuffed_pages(spark):
     df = spark.createDataFrame([(1, None, None), (2, "", []), (2, "x" * 100_000, [None])], "k long, d string, w array<string>").withColumn("_k", F.lit(0)).withColumn("stuffed_text", F.lit(0))
     got = stuffing.stuffed_pages(df, "k", "d", "w").collect()
