@@ -237,13 +237,19 @@ def verifier(threshold: float):
     return run
 
 
+def _twice(text: Column) -> Column:
+    """128 bits of a text."""
+    return F.struct(F.xxhash64(text).alias("x"), F.xxhash64(F.reverse(text), F.length(text)).alias("y"))
+
+
 def representatives(df: DataFrame, key: str, text: Column, least: int) -> tuple[DataFrame, DataFrame]:
     """Rows of ``least`` characters or more: (_id, _text) of the smallest key of equal texts; (_id, _rep) of the others."""
     rows = df.select(F.col(key).alias("_id"), text.alias("_text")).where(F.col("_id").isNotNull() & (F.length("_text") >= least))
-    hashed = rows.select("_id", F.struct(F.xxhash64("_text").alias("x"), F.xxhash64(F.reverse("_text"), F.length("_text")).alias("y")).alias("_h"))
+    hashed = rows.select("_id", _twice(F.col("_text")).alias("_h"))
     first = hashed.groupBy("_h").agg(F.min("_id").alias("_rep"), F.count("*").alias("_n")).where("_n > 1").drop("_n")
-    copies = durable(lookup(hashed, first, "_h", F.col("_id"), "inner").where("_id <> _rep").select("_id", "_rep").distinct(), "copies")
-    return rows.join(copies, "_id", "left_anti"), copies
+    found = durable(lookup(hashed, first, "_h", F.col("_id"), "inner").where("_id <> _rep").select("_id", "_rep", "_h").distinct(), "copies")
+    kept = rows.withColumn("_h", _twice(F.col("_text"))).join(found, ["_id", "_h"], "left_anti").select("_id", "_text")
+    return kept, found.select("_id", "_rep").distinct()
 
 
 def near_pairs(rows: DataFrame, *, threshold: float, trees: int = 24, longest: int = 6, recall: float = 0.95, hot: int = 4096) -> DataFrame:
@@ -294,10 +300,10 @@ def all_pairs(pairs: DataFrame, copies: DataFrame) -> DataFrame:
     nodes = ends.select(F.col("a").alias("_rep")).unionByName(ends.select(F.col("b").alias("_rep"))).unionByName(copies.select("_rep")).distinct()
     members = nodes.select("_rep", F.col("_rep").alias("_id")).unionByName(copies.select("_rep", "_id"))
     left, right = members.select(F.col("_rep").alias("a"), F.col("_id").alias("x")), members.select(F.col("_rep").alias("b"), F.col("_id").alias("y"))
-    across = ends.join(left, "a").join(right, "b").select("x", "y")
+    across = ends.join(left, "a").join(right, "b").where("x <> y").select("x", "y")
     own = copies.select("_rep").distinct().join(members, "_rep")
     within = own.select("_rep", F.col("_id").alias("x")).join(own.select("_rep", F.col("_id").alias("y")), "_rep").where("x < y").select("x", "y")
-    return across.unionByName(within).select(F.least("x", "y").alias("a"), F.greatest("x", "y").alias("b"))
+    return across.unionByName(within).select(F.least("x", "y").alias("a"), F.greatest("x", "y").alias("b")).distinct()
 
 
 def groups(pairs: DataFrame, copies: DataFrame) -> DataFrame:

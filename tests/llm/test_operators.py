@@ -233,6 +233,17 @@ def test_forest_finds_texts_of_few_grams(spark):
     assert len(want) > 100 and got <= want and len(want - got) <= 0.05 * len(want)
 
 
+def test_forest_keeps_the_other_text_of_a_copied_key(spark):
+    x, y = (" ".join(word() for _ in range(20)) for _ in range(2))
+    df = spark.createDataFrame([(1, x), (5, x), (5, y), (7, y + " end")], "k long, t string")
+    reps, _ = forest.representatives(df, "k", F.col("t"), 80)
+    assert sorted(map(tuple, reps.collect())) == sorted([(1, x), (5, y), (7, y + " end")])
+    pairs, copies = forest.near_duplicates(df, "k", F.col("t"), threshold=0.7, least=80)
+    assert sorted(map(tuple, forest.all_pairs(pairs, copies).collect())) == [(1, 5), (5, 7)]
+    df = spark.createDataFrame([(1, x), (5, x), (5, x + " end")], "k long, t string")
+    assert list(map(tuple, forest.all_pairs(*forest.near_duplicates(df, "k", F.col("t"), threshold=0.7, least=80)).collect())) == [(1, 5)]
+
+
 @pytest.mark.parametrize("threshold", [0.6, 0.7, 0.85])
 def test_forest_depth_is_measured_at_every_number_of_grams(threshold):
     found = forest.measured([" ".join(word() for _ in range(20)) for _ in range(200)], threshold, 24, 6)
