@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import atexit
+import re
 import shutil
 import tempfile
 import uuid
@@ -11,11 +12,16 @@ from pyspark.sql import DataFrame, SparkSession
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """``spark.checkpoint.dir``; only where it is unset (tests, local runs) a folder of our own, removed at exit."""
+    """``spark.checkpoint.dir``; only where it is unset and all runs in this process (tests) a folder of our own, removed at exit.
+
+    A cluster without that setting is an error: a folder of one machine isn't what the other executors see.
+    """
     sc = spark.sparkContext
     known = sc.getConf().get("spark.checkpoint.dir") or sc.getCheckpointDir()
     if known:
         return known
+    if not re.fullmatch(r"local(\[.*\])?", sc.master):
+        raise RuntimeError("set spark.checkpoint.dir to a folder that all executors share")
     own = tempfile.mkdtemp(prefix="pagemill-")
     atexit.register(shutil.rmtree, own, True)
     sc.setCheckpointDir(f"file://{own}")

@@ -68,6 +68,27 @@ def test_representatives(spark):
     assert dedup.near_pairs(df.limit(0), "id").count() == 0
 
 
+@pytest.mark.parametrize("block", [700, 100_000])
+def test_decide(spark, block):
+    """Chains of 1,000 that each depend on the one before, keys that many share, and open ones, beside the sequential rule."""
+    from pagemill.plans.greedy import GOES, OPEN, STAYS, decide
+
+    rng = random.Random(8)
+    entries = [(i, x, 0, x == i, False) for i in range(1000) for x in (i, i - 1)]
+    entries += [(c, 10_000 + rng.randrange(20), 1, rng.random() < 0.8, rng.random() < 0.05) for c in range(2000, 2060) for _ in range(3)]
+    told, want = {}, {}
+    for c in sorted({e[0] for e in entries}):
+        mine = [e for e in entries if e[0] == c]
+        heard = {s for e in mine for s in told.get(e[1:3], ())}
+        want[c] = GOES if STAYS in heard else OPEN if OPEN in heard or any(e[4] for e in mine) else STAYS
+        for e in mine:
+            if e[3] and want[c] != GOES:
+                told.setdefault(e[1:3], set()).add(want[c])
+    df = spark.createDataFrame(entries, "cid long, x long, y long, pub boolean, more boolean")
+    got = {r["cid"]: r["s"] for r in decide(df, block=block, rounds=2).collect()}
+    assert got == want
+
+
 def test_exact_duplicates_and_sets(spark):
     df = spark.createDataFrame([(3, "a"), (1, "a"), (2, None), (4, None), (5, "b")], "id long, v string")
     assert [tuple(r) for r in dedup.exact_duplicates(df, "id", "v").collect()] == [(1, 3)]
