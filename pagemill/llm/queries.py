@@ -54,9 +54,9 @@ def p5_found(spark: SparkSession, d: str) -> DataFrame:
     return stuffed_pages(table(spark, d, "doc_meta"), "doc_id", "description", "keywords").where("stuffed_text or stuffed_keywords").select("doc_id")
 
 
-def _near(spark: SparkSession, d: str):
+def _near(spark: SparkSession, d: str, every: bool = True):
     text = F.concat(F.coalesce("title", F.lit("")), F.lit(" "), F.coalesce("description", F.lit("")))
-    return forest.near_duplicates(table(spark, d, "doc_meta"), "doc_id", forest.clean(text), threshold=0.7, least=80)
+    return forest.near_duplicates(table(spark, d, "doc_meta"), "doc_id", forest.clean(text), threshold=0.7, least=80, every=every)
 
 
 def p6_found(spark: SparkSession, d: str) -> DataFrame:
@@ -65,7 +65,7 @@ def p6_found(spark: SparkSession, d: str) -> DataFrame:
 
 def p6_groups(spark: SparkSession, d: str) -> DataFrame:
     """One row for each document of a group of two or more: the group, and its size as the right dup_count."""
-    return forest.groups(*_near(spark, d)).select(F.col("_id").alias("doc_id"), F.col("group").alias("group_id"), F.col("size").alias("dup_count"))
+    return forest.groups(*_near(spark, d, every=False)).select(F.col("_id").alias("doc_id"), F.col("group").alias("group_id"), F.col("size").alias("dup_count"))
 
 
 def p7_ids(spark: SparkSession, d: str) -> DataFrame:
