@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+from bisect import bisect_right
 from collections.abc import Iterator
 
 import numpy as np
@@ -11,96 +12,167 @@ from pyspark.sql import DataFrame, Window, functions as F
 from pagemill.plans.durable import durable
 
 
-def nnls(a: np.ndarray, b: np.ndarray, steps: int = 500) -> np.ndarray:
-    """x >= 0 with least |a x - b|, by accelerated projected gradients."""
-    if not a.size:
-        return np.zeros(a.shape[1])
-    rate = 1.0 / max(1e-12, np.linalg.norm(a, 2) ** 2)
-    x = y = np.zeros(a.shape[1])
+#: Buckets of lengths that a histogram is reduced to, whatever the capacity; patterns of each in a fit; fits at most.
+BUCKETS, TRIES, FITS = 256, 12, 8
+
+
+def nnls(rows: np.ndarray, cols: np.ndarray, values: np.ndarray, b: np.ndarray, steps: int = 600) -> np.ndarray:
+    """x >= 0 with least |a x - b| for the sparse matrix a of ``values`` at (rows, cols), cols ascending from 0 without a gap.
+
+    Accelerated projected gradients over columns of length 1; the step is from a bound on the norm by power iteration.
+    """
+    if not len(cols):
+        return np.zeros(0)
+    first = np.flatnonzero(np.diff(cols, prepend=-1))
+    size = np.sqrt(np.add.reduceat(values * values, first))
+    v = values / size[cols]
+    times = lambda x: np.bincount(rows, v * x[cols], len(b))
+    back = lambda r: np.add.reduceat(v * r[rows], first)
+    x = np.ones(len(first))
+    for _ in range(30):
+        x = back(times(x))
+        x /= max(1e-300, np.sqrt((x * x).sum()))
+    rate = 1.0 / max(1e-12, 1.05 * np.sqrt((back(times(x)) ** 2).sum()))
+    x = y = np.zeros(len(first))
     t = 1.0
     for _ in range(steps):
-        new = np.maximum(0, y - rate * (a.T @ (a @ y - b)))
+        new = np.maximum(0, y - rate * back(times(y) - b))
         t2 = (1 + (1 + 4 * t * t) ** 0.5) / 2
         y = new + (t - 1) / t2 * (new - x)
         x, t = new, t2
-    return x
+    return x / size
+
 
+def patterns(mean: np.ndarray, counts: np.ndarray, capacity: int, slack: float, rng) -> list[tuple[int, ...]]:
+    """Multisets of buckets, largest first, whose ``mean`` lengths fill a container to within ``slack``.
 
-def patterns(lengths: np.ndarray, counts: np.ndarray, capacity: int, most: int, slack: int) -> list[tuple[int, ...]]:
-    """Combinations of up to four lengths that fill a container but for ``slack``, the tightest and most frequent of each length first."""
+    Each bucket starts TRIES of them; the next ones are drawn as frequent as they are among those not larger that fit, the last is the one that fits best.
+    None has more than 8 lengths and twice what the mean length asks for.
+    """
     found: set[tuple[int, ...]] = set()
-    per = max(1, most // max(1, len(lengths)))
-    for a in lengths[::-1].tolist():
-        mine: list[tuple[float, tuple[int, ...]]] = []
-        if a >= capacity - slack:
-            mine.append((0.0, (a,)))
-        room = capacity - a
-        hi = np.searchsorted(lengths, min(a, room), "right")
-        lo = np.searchsorted(lengths, max(1, room - slack))
-        for i in range(lo, hi):
-            mine.append((-float(counts[i]), (a, int(lengths[i]))))
-        for i in np.argsort(-counts[:hi], kind="stable")[:24].tolist():  # one frequent length, then two that fit, the last repeated at will
-            b = int(lengths[i])
-            left = room - b
-            if left <= 0:
-                continue
-            h, lw = np.searchsorted(lengths, left, "right"), np.searchsorted(lengths, max(1, left - slack))
-            for k in range(max(lw, h - 4), h):
-                mine.append((-float(min(counts[i], counts[k])), tuple(sorted((a, b, int(lengths[k])), reverse=True))))
-            for times in (2, 3):
-                c = left // times
-                k = int(np.searchsorted(lengths, c, "right")) - 1
-                if k >= 0 and 0 <= left - times * lengths[k] <= slack:
-                    mine.append((-float(counts[k]) / times, tuple(sorted((a, b, *[int(lengths[k])] * times), reverse=True))))
-        mine.sort()
-        found.update(p for _, p in mine[:per])
+    total, means, held = np.cumsum(counts).tolist(), mean.tolist(), counts.tolist()
+    most = 8 + int(2 * capacity * total[-1] / max(1.0, float((mean * counts).sum())))
+    draws = iter(())
+    for a in np.flatnonzero(counts).tolist():
+        for _ in range(TRIES):
+            p, room = [a], capacity - means[a]
+            while room > slack and len(p) < most:
+                fits = min(a, bisect_right(means, room) - 1)
+                if fits < 0 or not total[fits]:
+                    break
+                if room <= means[fits] + slack and held[fits]:
+                    b = fits  # the last one
+                else:
+                    if (u := next(draws, None)) is None:
+                        draws = iter(rng.random(4096).tolist())
+                        u = next(draws)
+                    b = bisect_right(total, u * total[fits])
+                p.append(b)
+                room -= means[b]
+            if 0 <= room <= slack:
+                found.add(tuple(sorted(p, reverse=True)))
     return sorted(found, reverse=True)
 
 
-def plan(lengths: np.ndarray, counts: np.ndarray, capacity: int, most_patterns: int = 3000, slack: int = 8) -> list[tuple[tuple[int, ...], int]]:
-    """Patterns of lengths with the number of containers filled by each; together they hold each length ``counts`` times.
+class Stock:
+    """How many items of each length are left."""
 
-    Repeat counts are fitted to the histogram by non-negative least squares and rounded down; a rounded pattern is used
-    no more often than its lengths last.  The rest is packed by best fit: the largest length that remains, then again and again
-    the largest that fits, repeated while the lengths last.  Each step of it uses up a length, so the work depends on
-    the number of different lengths, not of items.
+    def __init__(self, lengths: np.ndarray, counts: np.ndarray):
+        self.lengths, self.left = lengths.astype(np.int64), counts.astype(np.int64).copy()
+        self.next = np.arange(len(lengths) + 1) - 1  # path to the largest index not above that has any left
+
+    def largest(self, i: int) -> int:
+        """The largest index up to ``i`` with items left, or -1."""
+        path = []
+        while i >= 0 and not self.left[i]:
+            path.append(i)
+            i = int(self.next[i])
+        for x in path:
+            self.next[x] = i
+        return i
+
+
+def plan(lengths: np.ndarray, counts: np.ndarray, capacity: int) -> tuple[list[tuple[tuple[int, ...], int]], int]:
+    """(patterns of lengths with the number of containers filled by each, items placed by fitted patterns); each length is held ``counts`` times.
+
+    The histogram is reduced to BUCKETS buckets of equal width.  Patterns of buckets are fitted to it by non-negative least squares and rounded;
+    each is filled with lengths of its buckets, the last one by the largest that fits, so containers are full to the unit although buckets are wide.  What is
+    left is fitted anew, until a fit places less than a twentieth of it; the rest is packed by best fit: the largest length that remains, then again
+    and again the largest that fits.  Each step uses up a length or ends a pattern, so the work depends on the numbers of lengths and patterns, not of items.
     """
-    left = dict(zip(lengths.tolist(), counts.tolist()))
+    stock = Stock(lengths, counts)
     done: list[tuple[tuple[int, ...], int]] = []
-
-    def use(p: tuple[int, ...], times: int) -> None:
-        need = {x: p.count(x) for x in p}
-        times = min(times, *(left.get(x, 0) // n for x, n in need.items()))
-        if times > 0:
-            done.append((p, times))
-            for x, n in need.items():
-                left[x] -= n * times
-
-    ps = patterns(lengths, counts, capacity, most_patterns, slack)
-    if ps:
-        row = {x: i for i, x in enumerate(lengths.tolist())}
-        a = np.zeros((len(lengths), len(ps)))
-        for j, p in enumerate(ps):
-            for x in p:
-                a[row[x], j] += 1
-        scale = 1 / np.sqrt(np.maximum(1, counts))
-        fit = nnls(a * scale[:, None], counts * scale)
+    fitted = 0
+
+    def take(chosen: list[int], times: int) -> int:
+        index, need = np.unique(chosen, return_counts=True)
+        times = min(times, int((stock.left[index] // need).min()))
+        stock.left[index] -= need * times
+        if times:
+            done.append((tuple(int(stock.lengths[i]) for i in chosen), times))
+        return times
+
+    def fill(first: list[int], times: int) -> int:
+        """Containers that begin with one length of each bucket of ``first`` and end with the largest that fits; how many came about."""
+        made = 0
+        while made < times:
+            chosen, room, used, carry = [], capacity, {}, 0.0
+            for k, b in enumerate(first):
+                low, high = starts[b], starts[b + 1] - 1
+                # about the mean, less what the ones before had more than theirs
+                high = max(low, min(high, int(np.searchsorted(stock.lengths, mean[b] + carry, "right")) - 1))
+                if k == len(first) - 1:  # the last one may be of another bucket, if that fills the container better
+                    low, high = 0, int(np.searchsorted(stock.lengths, room, "right")) - 1
+                i = stock.largest(min(high, int(np.searchsorted(stock.lengths, room, "right")) - 1))
+                while i >= low and used.get(i, 0) >= stock.left[i]:
+                    i = stock.largest(i - 1)
+                if i < low:
+                    i = next((x for x in range(max(low, high), starts[b + 1]) if used.get(x, 0) < stock.left[x] and stock.lengths[x] <= room), -1)
+                if i < 0:
+                    return made
+                carry += mean[b] - float(stock.lengths[i])
+                chosen.append(i)
+                used[i] = used.get(i, 0) + 1
+                room -= int(stock.lengths[i])
+            if room > width // 4 + 1 and len(first) > 1:
+                return made
+            made += take(chosen, times - made)
+        return made
+
+    width = max(1, -(-capacity // BUCKETS))
+    bucket = (stock.lengths - 1) // width
+    starts = np.searchsorted(bucket, np.arange(BUCKETS + 1))
+    rng = np.random.default_rng(8)
+    for _ in range(FITS if len(lengths) else 0):
+        held = np.bincount(bucket, stock.left, BUCKETS)
+        total = int(stock.left.sum())
+        mean = np.where(held > 0, np.bincount(bucket, stock.left * stock.lengths, BUCKETS) / np.maximum(1, held), (np.arange(BUCKETS) + 1) * width)
+        ps = patterns(mean, held.astype(np.int64), capacity, width / 2, rng)
+        if not ps:
+            break
+        cells = [(x, j, p.count(x)) for j, p in enumerate(ps) for x in dict.fromkeys(p)]
+        rows, cols, n = (np.array(x) for x in zip(*cells))
+        scale = 1 / np.sqrt(np.maximum(1, held))
+        fit = nnls(rows, cols, n * scale[rows], held * scale)
+        placed = 0
         for j in np.argsort(-fit, kind="stable").tolist():
-            use(ps[j], int(fit[j] + 1e-6))
-    present = np.array(sorted(x for x, n in left.items() if n > 0), np.int64)
-    while len(present):
-        p, room = [], capacity
-        while True:
-            i = int(np.searchsorted(present, room, "right")) - 1
-            while i >= 0 and p.count(x := int(present[i])) >= left[x]:
-                i -= 1
-            if i < 0:
-                break
-            p.append(int(present[i]))
-            room -= p[-1]
-        use(tuple(p), 1 << 62)
-        present = np.array([x for x in present.tolist() if left[x] > 0], np.int64)
-    return done
+            if times := int(fit[j] + 0.5):
+                placed += fill(list(ps[j]), times) * len(ps[j])
+        fitted += placed
+        if placed * 20 < total:
+            break
+    top = len(lengths) - 1
+    while (i := stock.largest(top)) >= 0:
+        top, chosen, room, used = i, [], capacity, {}
+        while i >= 0:
+            chosen.append(i)
+            used[i] = used.get(i, 0) + 1
+            room -= int(stock.lengths[i])
+            i = stock.largest(min(i, int(np.searchsorted(stock.lengths, room, "right")) - 1))
+            while i >= 0 and used.get(i, 0) >= stock.left[i]:
+                i = stock.largest(i - 1)
+        take(chosen, 1 << 62)
+    return done, fitted
 
 
 def pack(df: DataFrame, key: str, size: str, capacity: int, *, buckets: int = 4096) -> DataFrame:
@@ -120,7 +192,7 @@ def pack(df: DataFrame, key: str, size: str, capacity: int, *, buckets: int = 40
     lengths, counts = np.array([h[0] for h in hist], np.int64), np.array([h[1] for h in hist], np.int64)
     pieces: dict[int, list[tuple[int, int, int, int]]] = {int(x): [] for x in lengths}
     used, containers = dict.fromkeys(pieces, 0), 0
-    for p, times in plan(lengths, counts, capacity):
+    for p, times in plan(lengths, counts, capacity)[0]:
         for slot, x in enumerate(p):
             pieces[x].append((used[x], containers, slot, times))
             used[x] += times
