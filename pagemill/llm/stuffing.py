@@ -7,10 +7,12 @@ from collections import Counter
 from collections.abc import Iterator
 
 import pandas as pd
-from pyspark.sql import DataFrame, functions as F
+from pyspark.sql import DataFrame, Window, functions as F
 
 #: Scripts written without spaces: each character is a word.
 _WIDE = "\u3040-\u30ff\u3400-\u9fff\uf900-\ufaff\U00020000-\U0003ffff"
+#: Scripts with sentence words of their own; all others count as one.
+SCRIPTS = ("Latin", "Han", "Cyrillic", "Greek", "Arabic", "Hebrew", "Devanagari", "Bengali", "Thai", "Hangul", "Hiragana", "Katakana")
 _JAVA_WIDE = r"\p{IsHan}\p{IsHiragana}\p{IsKatakana}"
 _WORD = re.compile(rf"[{_WIDE}]|[^\W\d_{_WIDE}]+(?:['’][^\W\d_{_WIDE}]+)*|\d+")
 _PAIR = re.compile(rf"(?=([{_WIDE}]{{2}}))")
@@ -33,9 +35,10 @@ def words(text: str) -> list[str]:
 def sentence_words(df: DataFrame, text: str, keywords: str, share: float = 0.002, most: int = 4000) -> DataFrame:
     """Words (and pairs of characters of scripts without spaces) that carry sentences: (word, n).
 
-    Counted over every line of 8 or more words of every row, once a row, where at most a third of the words repeat: words
-    in at least ``share`` of these rows, the ``most`` most frequent at most, that are at least 20 times
-    as frequent there as in the keyword lists.
+    Counted over every line of 8 or more words of every row, once a row, where at most a third of the words repeat.  Each script has a measure of
+    its own, as a rare one has a small share of all rows: words in at least ``share`` of the rows or a hundredth of the rows of
+    the script's commonest word, whichever is less, and in 5 rows; the ``most`` most frequent of a script at most; at least 20 times as frequent there as in
+    the keyword lists.  Languages too rare for that within their script are left to ``formed``.
     """
     token = rf"([{_JAVA_WIDE}](?=([{_JAVA_WIDE}]?))|[\p{{L}}&&[^{_JAVA_WIDE}]]+)"
 
@@ -49,10 +52,28 @@ def sentence_words(df: DataFrame, text: str, keywords: str, share: float = 0.002
     said = lines.groupBy("word").agg(F.count("*").alias("n"))
     listed = df.select(F.explode(F.array_distinct(tokens(F.lower(F.array_join(F.col(keywords), " "))))).alias("word")).groupBy("word").agg(F.count("*").alias("m"))
     rows = df.where(F.length(text) > 0).count()
-    common = said.where(F.col("n") >= share * rows).orderBy(F.desc("n"), "word").limit(most)
+    script = F.coalesce(*[F.when(F.col("word").rlike(rf"^\p{{Is{x}}}"), F.lit(x)) for x in SCRIPTS], F.lit("other"))
+    said = said.where("n >= 5").withColumn("script", script)
+    top = said.groupBy("script").agg(F.max("n").alias("top"))
+    often = said.join(F.broadcast(top), "script").where(F.col("n") >= F.least(F.lit(share * rows), F.col("top") / 100))
+    common = often.withColumn("r", F.row_number().over(Window.partitionBy("script").orderBy(F.desc("n"), "word"))).where(F.col("r") <= most)
     return common.join(listed, "word", "left").where(F.col("n") >= 20 * F.coalesce("m", F.lit(0))).select("word", "n")
 
 
+def formed(part: str) -> bool:
+    """Whether a part has the form of a sentence, whatever its language: 6 words or more and an end mark, few words said again or
+    capital within, some of them short, and few separators."""
+    if part[-1:] not in ".!?…。！？":
+        return False
+    ws = _WORD.findall(part)
+    n = len(ws)
+    if n < 6:
+        return False
+    some = {w.lower() for w in ws}
+    capital = sum(w[:1].isupper() or w.isdigit() for w in ws[1:])
+    return 10 * len(some) >= 8 * n and 2 * capital < n and 6 * sum(len(w) <= 3 for w in some) >= n and 5 * sum(map(part.count, ",、，/|;:")) <= n
+
+
 def shape(part: str, carriers: set[str]) -> tuple[str, int]:
     """The shape of a part of a text, and its weight in words.
 
@@ -79,7 +100,8 @@ def shape(part: str, carriers: set[str]) -> tuple[str, int]:
 
 
 def describe(text: str, carriers: set[str]) -> dict[str, float]:
-    """Words in sentences, in other parts, in links; the share of other parts in their commonest phrases; their shapes."""
+    """Words in sentences and in other parts, number of links; of the other parts, the share of words said again, items, tags, and the share of
+    the three commonest shapes (links are a shape too)."""
     links = 0
     if _DOT.search(text):
         if "](" in text or "<" in text:
@@ -88,11 +110,17 @@ def describe(text: str, carriers: set[str]) -> dict[str, float]:
         links += more
         if ">>" in text:
             text = _LABEL.sub("\n", text)
-    shapes: Counter[str] = Counter()
+    shapes: Counter[str] = Counter({"L": 4 * links}) if links else Counter()
     rest: list[str] = []
     said = other = 0
-    for part in _PARTS.split(text):
-        s, w = shape(part, carriers) if part else ("", 0)
+    parts = [p for p in _PARTS.split(text) if p]
+    shaped = [shape(p, carriers) for p in parts]
+    if any(s != "S" and formed(p) for p, (s, _) in zip(parts, shaped)):
+        ws = words(text)
+        # too few words that carry sentences for one of the languages that were learned: the form decides
+        if 5 * sum(w in carriers for w in ws) < len(ws):
+            shaped = [("S", w) if formed(p) else (s, w) for p, (s, w) in zip(parts, shaped)]
+    for part, (s, w) in zip(parts, shaped):
         if s == "S":
             said += w
         elif w:
@@ -107,7 +135,7 @@ def describe(text: str, carriers: set[str]) -> dict[str, float]:
     ws = words(tail)
     twice = [n for n in Counter(ws).values() if n > 1]
     return d | {"again": (sum(twice) / len(ws)) if ws else 0.0, "items": len(items),
-            "tags": len(_TAG.findall(tail)) + len(_JOINED.findall(tail)), "few": (sum(n for _, n in shapes.most_common(3)) / other) if other else 0.0}
+            "tags": len(_TAG.findall(tail)) + len(_JOINED.findall(tail)), "few": (sum(n for _, n in shapes.most_common(3)) / (other + shapes["L"])) if other else 0.0}
 
 
 def stuffed_text(text: str | None, carriers: set[str]) -> bool:
@@ -156,7 +184,7 @@ def families(marked: list[set[str]], most: int) -> float:
 
 
 def stuffed_keywords(keywords) -> bool:
-    """Whether a list of six or more is links or tags for the most part, a phrase for each six or more with changing words, or whole cycles."""
+    """Whether a list of six or more is links or tags for the most part, a phrase for each six or more with changing words, or said twice on average."""
     if keywords is None:
         return False
     kept = [(k, bare) for k in keywords if k and (bare := _KEY.sub("", k.lower()))]
@@ -167,7 +195,7 @@ def stuffed_keywords(keywords) -> bool:
         return True
     bares = [bare for _, bare in kept]
     kinds = len(set(bares))
-    if n >= 2 * kinds and n % kinds == 0 and all(bares[i] == bares[i % kinds] for i in range(n)):
+    if n >= 2 * kinds:  # said twice on average
         return True
     marked = [marks(k, bare) for k, bare in kept]
     # no choice covers more than the commonest together: most lists are settled by that
