@@ -139,7 +139,7 @@ def test_exact_similarities():
     texts = [" ".join(word(4) for _ in range(RNG.randrange(1, 9))) for _ in range(60)] + ["", "ab", "漢字かな漢字かな"]
     for t in texts:
         nodes = np.array(RNG.sample(range(len(texts)), 9))
-        assert np.allclose(smallworld.Exact(texts).similarities(t, nodes), [forest.similarity(t, texts[i]) for i in nodes])
+        assert np.allclose(forest.Exact(texts).similarities(t, nodes), [forest.similarity(t, texts[i]) for i in nodes])
 
 
 def test_history_empty(spark):
@@ -217,10 +217,24 @@ def test_stuffed_keywords_whole():
         assert stuffing.stuffed_keywords([f"#{word()}" for _ in range(n)]) and stuffing.stuffed_keywords([f"http://{word()}.example" for _ in range(n)])
         assert not stuffing.stuffed_keywords([f"{word()} {word()}" for _ in range(n)])
     assert stuffing.stuffed_keywords([f"{word()} 海滨枕头" for _ in range(8)])
+    assert stuffing.stuffed_keywords(["shoes"] * 10 + ["boots"] * 3) and stuffing.stuffed_keywords([f"cheap shoes {c}" for c in string.ascii_lowercase])
+    assert stuffing.stuffed_keywords([f"{word()} {word()}" for _ in range(6)] * 3 + ["tea pot"])
     assert not stuffing.stuffed_keywords(["linen sofa", "cheap sofa", "red lamp", "old chair", "tea pot", "tin roof", "oak desk"])
     assert not stuffing.stuffed_keywords(["cours de musique", "sauvegarde de données", "sauvegarde de données", "animaux de compagnie", "moteurs de recherche", "animaux de compagnie"])
 
 
+RARE = ["Il negozio della nonna vende tessuti di lino e di lana da molti anni. La consegna arriva in pochi giorni e il personale risponde volentieri alle domande. Chi ha bisogno di un consiglio può passare al mattino.",
+        "Nasz sklep od wielu lat sprzedaje tkaniny z lnu i z wełny. Dostawa trwa kilka dni, a obsługa chętnie odpowiada na pytania. Kto potrzebuje porady, może przyjść rano do naszego sklepu.",
+        "Магазин много лет продаёт ткани из льна и шерсти. Доставка идёт пару дней, и мы рады любым вопросам о ней. Кто хочет совет, тот может зайти к нам утром."]
+
+
+def test_languages_too_rare_to_learn_are_ordinary(spark):
+    rows = [(i, sentence("en") + " " + sentence("de"), ["tea"]) for i in range(200)] + [(1000 + i, t, ["lino"]) for i, t in enumerate(RARE)]
+    rows += [(2000, ", ".join(["tessuti di lino", "tessuti di lana", "tessuti di seta"] * 6), None)]
+    df = spark.createDataFrame(rows, "k long, d string, w array<string>")
+    assert {r["k"] for r in stuffing.stuffed_pages(df, "k", "d", "w").where("stuffed_text").collect()} == {2000}
+
+
 def test_stuffed_pages(spark):
     df = spark.createDataFrame([(1, None, None), (2, "", []), (2, "x" * 100_000, [None])], "k long, d string, w array<string>").withColumn("_k", F.lit(0)).withColumn("stuffed_text", F.lit(0))
     got = stuffing.stuffed_pages(df, "k", "d", "w").collect()
@@ -281,11 +295,39 @@ def test_forest_keeps_the_other_text_of_a_copied_key(spark):
 
 
 @pytest.mark.parametrize("threshold", [0.6, 0.7, 0.85])
-def test_forest_depth_is_measured_at_every_number_of_grams(threshold):
-    found = forest.measured([" ".join(word() for _ in range(20)) for _ in range(200)], threshold, 24, 6)
-    depths = forest.depths_for(found, 0.95)
-    assert all(r[d - 1] >= 0.95 for d, kind in zip(depths, found) for r in kind)
-    assert all(d == 6 or min(r[d] for r in kind) < 0.95 for d, kind in zip(depths, found))
+def test_prefixes_are_shortened_until_the_recall_is_reached(threshold):
+    texts = [" ".join(word() for _ in range(20)) for _ in range(200)]
+    d = forest.Depths(texts, threshold, 24, 0.95)
+    assert all(r >= 0.95 for kind in d.recalls for r in kind)
+    assert all((1 <= t).all() and (t <= forest.DEEP).all() for t in d.table) and (threshold > 0.8 or any(len(set(t.ravel().tolist())) > 1 for t in d.table))
+    loose = forest.Depths(texts, threshold, 24, 0.5)
+    assert all((a >= b).all() for a, b in zip(loose.table, d.table)) and sum(t.sum() for t in loose.table) > sum(t.sum() for t in d.table)
+
+
+def test_leaves_sort_as_tries():
+    sig = np.random.default_rng(3).integers(0, 2**32, (50, 256), dtype=np.uint32)
+    sig[1:, :72] = sig[:1, :72]  # three values of each of 24 tries
+    k = forest.leaves(sig, 24, 1)
+    assert (forest.shared(k[0], k[1]) >= 3).all() and (forest.shared(k[0], k[0]) == forest.DEEP).all() and (k >> forest._TRIE == np.arange(24, 48)).all()
+
+
+def test_links_join_crowds_without_all_pairs(spark):
+    """A crowd of near copies gives a few pairs a row, and the same groups as all pairs."""
+    stem = [word() for _ in range(20)]
+    texts = []
+    for i in range(400):
+        ws = list(stem)
+        ws[RNG.randrange(20)] = word()
+        texts.append(" ".join(ws))
+    for i in range(60):
+        t = [word() for _ in range(20)]
+        texts += [" ".join(t), " ".join([word(), *t[1:]])]
+    df = spark.createDataFrame(list(enumerate(texts)), "k long, t string")
+    run = lambda **o: forest.near_duplicates(df, "k", F.col("t"), threshold=0.7, least=80, **o)
+    every, copies = run()
+    few, _ = run(every=False, hot=64)
+    as_set = lambda x: {tuple(r) for r in forest.groups(x, copies).collect()}
+    assert as_set(every) == as_set(few) and few.count() < 60 * len(texts) < every.count()
 
 
 # ------------------------------------------------------------------------------------------------------- problems 7, 8
@@ -351,7 +393,24 @@ def test_pack(spark, sizes):
 def test_nnls():
     a = np.abs(np.random.default_rng(0).normal(size=(30, 10)))
     x = np.maximum(0, np.random.default_rng(1).normal(size=10))
-    assert np.allclose(pack.nnls(a, a @ x, 20_000), x, atol=1e-2)
+    cols, rows = (i.ravel() for i in np.meshgrid(np.arange(10), np.arange(30), indexing="ij"))
+    assert np.allclose(pack.nnls(rows, cols, a.T.ravel(), a @ x, 20_000), x, atol=1e-2)
+
+
+@pytest.mark.parametrize("capacity", [2048, 32_768])
+def test_patterns_do_the_packing(capacity):
+    """Fitted patterns place most items, nearly no space is unused, and the work is that of the histogram."""
+    rng = np.random.default_rng(2)
+    n = rng.lognormal(np.log(capacity / 8), 1.1, 200_000).astype(np.int64) % capacity
+    lengths, counts = np.unique(n[n > 0], return_counts=True)
+    done, fitted = pack.plan(lengths, counts, capacity)
+    held = Counter()
+    for p, times in done:
+        assert sum(p) <= capacity
+        for x in p:
+            held[x] += times
+    assert held == dict(zip(lengths.tolist(), counts.tolist()))
+    assert fitted >= 0.7 * counts.sum() and (lengths * counts).sum() / capacity / sum(t for _, t in done) > 0.995
 
 
 # ------------------------------------------------------------------------------------------------------------ problem 9
