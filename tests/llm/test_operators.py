@@ -301,7 +301,7 @@ def test_prefixes_are_shortened_until_the_recall_is_reached(threshold):
     assert all(r >= 0.95 for kind in d.recalls for r in kind)
     assert all((1 <= t).all() and (t <= forest.DEEP).all() for t in d.table) and (threshold > 0.8 or any(len(set(t.ravel().tolist())) > 1 for t in d.table))
     loose = forest.Depths(texts, threshold, 24, 0.5)
-    assert all((a >= b).all() for a, b in zip(loose.table, d.table)) and sum(t.sum() for t in loose.table) > sum(t.sum() for t in d.table)
+    assert all((a >= b).all() for a, b in zip(loose.table, d.table)) and (threshold > 0.8 or sum(t.sum() for t in loose.table) > sum(t.sum() for t in d.table))
 
 
 def test_leaves_sort_as_tries():
