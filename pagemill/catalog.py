@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
+from pyspark.errors import AnalysisException
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
 from pagemill.functions import hashing, html, packets, text, urls, values
@@ -290,12 +291,35 @@ def index_stats(spark, d):
 
 @query(f"WITH {_POST} SELECT term AS word, CAST(least(count(*), 50) AS BIGINT) AS weight FROM post WHERE starts_with(term, 'ma') GROUP BY 1 ORDER BY 2 DESC, 1 LIMIT 10")
 def suggest_prefix(spark, d):
-    return index.suggest(index.document_frequency(_post(spark, d)), " Ma", 10)
+    return index.suggest(index.document_frequency(_stored(spark, d)), " Ma", 10)
+
+
+@query(f"""WITH {_POST}, c AS (SELECT DISTINCT lower({d_strip('query')}) AS q FROM query_log WHERE from_cache)
+SELECT word, CAST(sum(w) AS BIGINT) AS weight FROM (SELECT term AS word, least(count(*), 50) AS w FROM post WHERE starts_with(term, 'li') GROUP BY 1 UNION ALL SELECT q, 100 FROM c WHERE starts_with(q, 'li')) GROUP BY 1 ORDER BY 2 DESC, 1 LIMIT 12""")
+def suggest_cached(spark, d):
+    """Suggestions in which queries answered from the cache count."""
+    cached = table(spark, d, "query_log").where("from_cache").select(stats.query_key(F.col("query")).alias("query")).distinct()
+    return index.suggest(index.document_frequency(_stored(spark, d)), "li", 12, cached)
+
+
+_BUILT: dict[tuple[str, str], str] = {}
+
+
+def _stored(spark, d):
+    """Postings of the stored index of ``d``: built and saved once for each application, read by every search."""
+    known = (spark.sparkContext.applicationId, d)
+    if known in _BUILT:
+        try:
+            return index.load_postings(spark, _BUILT[known])
+        except AnalysisException:  # its folder is gone
+            pass
+    _BUILT[known] = new_path(spark, "index")
+    index.save(table(spark, d, "doc_meta"), _post(spark, d), "doc_id", _BUILT[known])
+    return index.load_postings(spark, _BUILT[known])
 
 
 def _index(spark, d, blocked=None):
-    docs = table(spark, d, "doc_meta")
-    return search.SearchIndex(docs, _post(spark, d), blocked)
+    return search.SearchIndex(table(spark, d, "doc_meta"), _stored(spark, d), blocked)
 
 
 def _d_score(phrase: str, terms: list[str]) -> str:
@@ -435,12 +459,29 @@ def near_dup_pairs(spark, d):
     return dedup.near_pairs(_prints(spark, d), "doc_id")
 
 
-@query()
+_D_REPS = f"""WITH RECURSIVE {_D_PRINTS}, {_d_sim('fp', 'doc_id', 'fp')}, h AS (SELECT doc_id, min(doc_id) OVER (PARTITION BY fp) AS head FROM fp),
+l AS (SELECT doc_id, simhash, strlen(fp) AS n FROM sim JOIN fp USING (doc_id) JOIN h USING (doc_id) WHERE strlen(fp) >= 128 AND doc_id = head),
+e AS MATERIALIZED (SELECT a.doc_id AS a, b.doc_id AS b FROM l a JOIN l b ON a.doc_id < b.doc_id AND 10 * abs(a.n - b.n) <= 3 * greatest(a.n, b.n) AND bit_count(xor(a.simhash, b.simhash)) <= 6),
+n AS MATERIALIZED (SELECT id, near, row_number() OVER (ORDER BY id) AS i FROM (SELECT b AS id, list(a) AS near FROM e GROUP BY 1 UNION ALL SELECT DISTINCT a, CAST([] AS BIGINT[]) FROM e WHERE a NOT IN (SELECT b FROM e))),
+r(i, kept) AS (SELECT CAST(0 AS BIGINT), CAST([] AS BIGINT[]) UNION ALL SELECT n.i, CASE WHEN list_has_any(near, kept) THEN kept ELSE list_append(kept, id) END FROM r JOIN n ON n.i = r.i + 1),
+k AS (SELECT unnest(arg_max(kept, i)) AS a FROM r), g AS (SELECT b, min(a) AS rep FROM e JOIN k USING (a) WHERE b NOT IN (SELECT a FROM k) GROUP BY 1),
+reps AS (SELECT doc_id, coalesce(rep, head) AS representative FROM h LEFT JOIN g ON head = b)"""
+
+
+@query(f"{_D_REPS} SELECT doc_id, representative FROM reps")
 def near_dup_representatives(spark, d):
     return dedup.representatives(_prints(spark, d), "doc_id")
 
 
-@query()
+@query(f"""WITH {_D_PRINTS}, {_d_sim('fp', 'doc_id', 'fp')} SELECT a.doc_id AS a, b.doc_id AS b, CAST(bit_count(xor(a.simhash, b.simhash)) AS INTEGER) AS distance FROM sim a JOIN sim b ON b.doc_id = a.doc_id + 1""")
+def hamming_pairs(spark, d):
+    """Bits in which the fingerprints of documents with following keys differ."""
+    p = dedup.fingerprints(table(spark, d, "doc_meta"), "doc_id", F.concat(F.coalesce("title", F.lit("")), F.lit(" "), F.coalesce("description", F.lit(""))), F.col("domain")).select("doc_id", "simhash")
+    nxt = p.select((F.col("doc_id") - 1).alias("doc_id"), F.col("doc_id").alias("b"), F.col("simhash").alias("other"))
+    return p.join(nxt, "doc_id").select(F.col("doc_id").alias("a"), "b", hashing.hamming(F.col("simhash"), F.col("other")).alias("distance"))
+
+
+@query(f"{_D_REPS} SELECT representative, count(*) AS dup_count FROM reps GROUP BY 1")
 def dup_counts(spark, d):
     return dedup.dup_counts(near_dup_representatives(spark, d), "doc_id")
 
@@ -511,7 +552,7 @@ def enumerate_blocked(spark, d):
     return _fqdn(spark).where(~names.blocked(F.col("fqdn"), ["11", "", "b.net"])).select("length", "id", "tld_pos", "fqdn")
 
 
-@query(f"SELECT CAST({sum(36 ** n for n in range(1, 21)) * 134} AS VARCHAR) AS total")
+@query("SELECT CAST(sum(list_reduce(list_transform(range(n), lambda i: CAST(36 AS HUGEINT)), lambda a, b: a * b)) * 134 AS VARCHAR) AS total FROM range(1, 21) r(n)")
 def enumerate_total(spark, d):
     return rows(spark, "total string", [(str(names.total("abcdefghijklmnopqrstuvwxyz0123456789", 1, 20, 134)),)])
 
@@ -559,7 +600,11 @@ V_PACKETS = [(1, "BEEF81800001000200000000036162630378797A00000100010C0C00010001
              (5, "BEEF8180000100010000000003616263036E65740000010001C00C000100010000003C000401020304"), (6, "BEEF820000000000"+"00000000")]
 
 
-@query()
+_WHOLE = (2, 5, 6)  # the packets that can be read to their end; heads of the others are no answers
+
+
+@query(f"""WITH {values_sql('v', 'id, hex', V_PACKETS)}, n AS (SELECT id, list_transform(range(1, length(hex) + 1), lambda i: instr('123456789ABCDEF', substr(hex, i, 1))) AS x, id IN {_WHOLE} AS whole FROM v)
+SELECT id, CASE WHEN whole THEN CAST(x[8] AS INTEGER) END AS rcode, CASE WHEN whole THEN CAST(x[15] * 16 + x[16] AS INTEGER) END AS ancount, CASE WHEN whole THEN (x[6] // 2) % 2 = 1 END AS truncated FROM n""")
 def dns_packet_parse(spark, d):
     p = rows(spark, "id int, hex string", V_PACKETS).select("id", packets.parse_response(F.unhex("hex")).alias("r"))
     return p.select("id", "r.*")
@@ -571,6 +616,17 @@ def dns_packet_build(spark, d):
     return s.select("s_suppkey", F.hex(packets.build_query(F.concat(F.lit("s"), F.col("s_suppkey").cast("string"), F.lit(".example")), F.lit(1), F.lit(0x1234))).alias("packet"))
 
 
+V_SENT = [("a.example", "s1", 7), ("b.example", "s1", 8), ("c.example", "s2", 7), ("d.example", "s2", 9), ("e.example", None, 7)]
+V_RECEIVED = [("s1", 7, 2, 3, 0), ("s1", 7, 1, 0, 1), ("s2", 7, 5, 3, 0), ("s1", 9, 1, 0, 1), (None, 7, 1, 0, 1), ("s2", 9, 4, 2, 0)]
+
+
+@query(f"""WITH {values_sql('q', 'fqdn, server, qid', V_SENT)}, {values_sql('r', 'server, qid, got, rcode, ancount', V_RECEIVED)}, f AS (SELECT * FROM r QUALIFY row_number() OVER (PARTITION BY server, qid ORDER BY got, rcode, ancount) = 1)
+SELECT fqdn, q.server, q.qid, rcode, ancount FROM q LEFT JOIN f ON q.server = f.server AND q.qid = f.qid""")
+def dns_match(spark, d):
+    """Responses brought to their questions by server and number."""
+    return names.matched(rows(spark, "fqdn string, server string, qid int", V_SENT), rows(spark, "server string, qid int, got int, rcode int, ancount int", V_RECEIVED))
+
+
 _KEYWORDS = ["alpha", "beta", "gamma"]
 
 
@@ -593,7 +649,7 @@ def icon_hues(spark, d):
     return table(spark, d, "supplier").select("s_suppkey", html.icon_hue(F.concat(F.lit("s"), F.col("s_suppkey").cast("string"), F.lit(".example"))).alias("hue"))
 
 
-@query()
+@query("""SELECT fqdn, server FROM (SELECT 's' || s_suppkey || '.example' AS fqdn, '10.0.0.' || i AS server FROM supplier, range(20) r(i)) QUALIFY row_number() OVER (PARTITION BY fqdn ORDER BY md5(fqdn || '|' || server || '|0')) <= 5""")
 def server_sample_k(spark, d):
     s = table(spark, d, "supplier").select(F.concat(F.lit("s"), F.col("s_suppkey").cast("string"), F.lit(".example")).alias("fqdn"))
     return names.sampled_servers(s, [f"10.0.0.{i}" for i in range(20)], 5)
@@ -604,7 +660,10 @@ V_ROBOTS = [("a.example", "User-agent: *\nDisallow: /admin\nDisallow:\n# x\nDisa
 _RULES = ["/admin", "/wiki/"]
 
 
-@query("SELECT * FROM (VALUES ('a.example', '/admin'), ('a.example', '/wiki/'), ('b.example', '/Big')) v(domain, rule)")
+@query(f"""WITH {values_sql('v', 'domain, body', V_ROBOTS)}, s AS (SELECT domain, regexp_split_to_array(body, '\r?\n') AS ls FROM v), l AS (SELECT domain, trim(unnest(ls)) AS line, generate_subscripts(ls, 1) AS i FROM s),
+g AS (SELECT *, starts_with(lower(line), 'user-agent:') AS ua, count(*) FILTER (starts_with(lower(line), 'user-agent:')) OVER (PARTITION BY domain ORDER BY i) AS g FROM l),
+a AS (SELECT domain, g FROM g WHERE ua AND (trim(substr(lower(line), 12)) = '*' OR contains(lower(line), 'crawler')))
+SELECT domain, trim(substr(line, 10)) AS rule FROM g SEMI JOIN a USING (domain, g) WHERE starts_with(lower(line), 'disallow:') AND trim(substr(line, 10)) <> ''""")
 def robots_rules(spark, d):
     return rows(spark, "domain string, body string", V_ROBOTS).select("domain", F.explode(crawl.robots_rules(F.col("body"))).alias("rule"))
 
@@ -632,7 +691,8 @@ def crawl_caps(spark, d):
 V_RULES = [(x,) for x in ("; comment", "[Wildcard]", "*.Example.cn", "*.cn", "*.1.2.3.4", "*.a.*.b", " *.b.example ", "# x", "plain.example", "*.example.cn", "*.x.example/p", "*.")]
 
 
-@query("SELECT * FROM (VALUES ('b.example'), ('example.cn')) v(domain)")
+@query(f"""WITH {values_sql('v', 'value', V_RULES)}, t AS (SELECT lower(trim(substr(trim(value), 3))) AS domain FROM v WHERE starts_with(trim(value), '*.'))
+SELECT DISTINCT domain FROM t WHERE contains(domain, '.') AND NOT regexp_matches(domain, '[*/]') AND NOT regexp_matches(domain, '^[0-9.]*$')""")
 def whitelist_parse(spark, d):
     return crawl.whitelist(rows(spark, "value string", V_RULES))
 
@@ -757,17 +817,23 @@ def first_delivery(spark, d):
     return stats.first_seen(table(spark, d, "query_log").select("log_id", "ts", "query"), "log_id", ["ts"])
 
 
-@query()
+def _d_cache(key: str, ttl: str, where: str = "true") -> str:
+    """Rows that put an entry, by recursion from one to the first request after its time; all others are hits."""
+    return f"""WITH RECURSIVE e AS (SELECT * FROM events WHERE {where}), p AS (SELECT {key}, min(ts) AS ts FROM e GROUP BY ALL UNION ALL SELECT {key}, min(e.ts) AS ts FROM p JOIN (SELECT {key}, ts FROM e) e USING ({key}) WHERE e.ts > p.ts + INTERVAL {ttl} GROUP BY ALL),
+q AS (SELECT min(event_id) AS event_id FROM e JOIN p USING ({key}, ts) GROUP BY {key}, ts)"""
+
+
+@query(f"{_d_cache('user_id, event_type', '6 HOUR')} SELECT event_id, ts, user_id, event_type, event_id NOT IN (SELECT event_id FROM q) AS hit FROM e")
 def cache_ttl_hits(spark, d):
     e = table(spark, d, "events").select("event_id", F.col("ts").cast("timestamp").alias("ts"), "user_id", "event_type")
-    return stats.cache_hits(e, ["user_id", "event_type"], "ts", "event_id", 6 * 3600)
+    return stats.cache_hits(e, ["user_id", "event_type"], "ts", "event_id", 6 * 3600).withColumn("ts", F.col("ts").cast("timestamp_ntz"))
 
 
-@query()
+@query(f"""{_d_cache('user_id', '300 SECOND', "event_type = 'error'")} SELECT event_id, ts, user_id, event_id NOT IN (SELECT event_id FROM q) AS suppressed FROM e""")
 def fail_suppression_300s(spark, d):
     """Errors of each user: one within 300 s of the last that counted is suppressed."""
     e = table(spark, d, "events").where("event_type = 'error'").select("event_id", F.col("ts").cast("timestamp").alias("ts"), "user_id")
-    return stats.cache_hits(e, ["user_id"], "ts", "event_id", 300).withColumnRenamed("hit", "suppressed")
+    return stats.cache_hits(e, ["user_id"], "ts", "event_id", 300).withColumn("ts", F.col("ts").cast("timestamp_ntz")).withColumnRenamed("hit", "suppressed")
 
 
 @query("SELECT event_id, event_type FROM (SELECT * FROM events ORDER BY event_id DESC LIMIT 500) WHERE event_id > (SELECT max(event_id) - 100 FROM events)")
@@ -823,7 +889,7 @@ def json_props(spark, d):
 V_JSON = [(1, '{"a": 1, "b": [true, null]}', True), (2, "{", False), (3, "[1,]", False), (4, '"x"', True), (5, "1 2", False), (6, "nul", False), (7, '{"a": 01}', False), (8, None, False), (9, '{"a" 1}', False), (10, "-1.5e3", True)]
 
 
-@query(f"WITH {values_sql('v', 'id, raw, valid', V_JSON)} SELECT id, valid FROM v")
+@query(f"WITH {values_sql('v', 'id, raw, valid', V_JSON)} SELECT id, coalesce(json_valid(raw) AND NOT regexp_matches(raw, ',\\s*[]}}]'), false) AS valid FROM v")
 def json_validate(spark, d):
     return rows(spark, "id int, raw string, valid boolean", V_JSON).select("id", values.json_valid(F.col("raw")).alias("valid"))
 

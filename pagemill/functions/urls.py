@@ -71,6 +71,15 @@ def resolve_redirect(base: Column, target: Column) -> Column:
     )
 
 
+def parse_query(c: Column) -> Column:
+    """The parts of a query string as a map, decoded; of equal names the last counts, a part without ``=`` has an empty value."""
+    parts = F.filter(F.split(c, "&"), lambda p: p != "")
+    pair = lambda p: F.struct(url_decode(F.substring_index(p, "=", 1)).alias("key"), url_decode(F.when(p.contains("="), F.regexp_replace(p, "(?s)^[^=]*=", "")).otherwise("")).alias("value"))
+    pairs = F.transform(parts, pair)
+    last = F.filter(pairs, lambda p, i: ~F.exists(F.slice(pairs, i + 2, F.greatest(F.size(pairs), F.lit(1))), lambda o: o["key"] == p["key"]))
+    return F.map_from_entries(last)
+
+
 def url_encode(c: Column) -> Column:
     """Percent encoding that keeps ``A-Za-z0-9-_.~`` and writes a space as ``%20``."""
     return F.replace(F.replace(F.replace(F.url_encode(c), F.lit("+"), F.lit("%20")), F.lit("%7E"), F.lit("~")), F.lit("*"), F.lit("%2A"))

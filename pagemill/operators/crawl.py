@@ -59,7 +59,7 @@ def per_domain(urls: DataFrame, order: str, cap: int) -> DataFrame:
 
 
 def bfs(edges: DataFrame, start: DataFrame, depth: int, *, cap_per_domain: int | None = None, most: int | None = None) -> DataFrame:
-    """(url, depth): addresses reachable in at most ``depth`` steps, level by level; each level is written, so lineage stays short.
+    """(url, depth): addresses reachable in at most ``depth`` steps, level by level; each level is written once, so lineage stays short.
 
     Order within a level is by address; caps count levels before it.  Edges are (src, dst); nulls lead nowhere.
     """
@@ -78,7 +78,7 @@ def bfs(edges: DataFrame, start: DataFrame, depth: int, *, cap_per_domain: int |
         frontier = durable(new, "level")
         if not frontier.take(1):
             break
-        seen = durable(seen.unionByName(frontier), "seen")
+        seen = seen.unionByName(frontier)
     return seen
 
 

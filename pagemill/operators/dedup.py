@@ -96,7 +96,7 @@ def near_pairs(prints: DataFrame, key: str, *, bits: int = NEAR_BITS, block: int
     rows = prints.where(F.col("fp_len") >= LEAST_BYTES).select(F.col(key).cast("long").alias("id"), F.col("simhash").alias("s"), F.col("fp_len").alias("n"))
     cuts = [(64 * i) // (bits + 1) for i in range(bits + 2)]
     value = lambda lo, hi: F.shiftrightunsigned("s", lo).bitwiseAND(F.lit((1 << (hi - lo)) - 1))
-    rows = rows.withColumn("c", F.floor(F.log(F.col("n").cast("double")) / math.log(10 / (10 - GAP_TENTHS))))
+    rows = durable(rows.withColumn("c", F.floor(F.log(F.col("n").cast("double")) / math.log(10 / (10 - GAP_TENTHS)))), "prints")
     keyed = rows.select("id", "s", "n", "c", F.posexplode(F.array(*[value(lo, hi) for lo, hi in zip(cuts, cuts[1:])])).alias("k", "v"))
     sizes = keyed.groupBy("k", "v", "c").agg(F.count("*").alias("m"))
     crowded = durable(sizes.where(F.col("m") > block).select(F.struct("k", "v", "c").alias("g"), F.ceil(F.col("m") / block).alias("parts")), "crowded")
@@ -152,5 +152,10 @@ def upsert(df: DataFrame, new: DataFrame, key: str) -> DataFrame:
     return df.unionByName(new.dropDuplicates([key]).join(df.select(key), key, "left_anti"))
 
 
+def removed(df: DataFrame, gone: DataFrame, key: str) -> DataFrame:
+    """``df`` without the rows whose key is in ``gone``; rows with a null key stay (SET-5)."""
+    return excluding(df, key, gone, key)
+
+
 def union_all(*parts: DataFrame) -> DataFrame:
     return reduce(DataFrame.unionByName, parts)

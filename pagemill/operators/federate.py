@@ -78,3 +78,14 @@ def to_queue(results: DataFrame, queued: DataFrame) -> DataFrame:
 def drain(queue: DataFrame, most: int = 30) -> DataFrame:
     """The first ``most`` addresses of a queue: one drain's share."""
     return queue.orderBy("url").limit(most)
+
+
+def ingested(queue: DataFrame, fetched: DataFrame, docs: DataFrame, most: int = 30) -> tuple[DataFrame, DataFrame]:
+    """(queue, documents) after a drain: the share is marked done, and what was fetched (url and a document's columns) joins the documents.
+
+    ``queue`` is (url, done); an address whose fetch failed is done too, and one that the documents have already isn't added twice.
+    """
+    share = drain(queue.where("not done").select("url"), most)
+    marked = queue.join(share.withColumn("_now", F.lit(True)), "url", "left").select("url", (F.col("done") | F.coalesce("_now", F.lit(False))).alias("done"))
+    some = fetched.dropDuplicates(["url"]).join(share, "url", "left_semi").join(docs.select("url"), "url", "left_anti")
+    return marked, docs.unionByName(some, allowMissingColumns=True)

@@ -56,7 +56,7 @@ def load_docs(raw: DataFrame) -> DataFrame:
     return raw.dropna(subset=need).withColumn("dup_count", F.greatest(F.coalesce(F.col("dup_count"), F.lit(1)), F.lit(1)).cast("long"))
 
 
-def save(docs: DataFrame, post: DataFrame, key: str, path: str, rows_per_file: int = 256) -> str:
+def save(docs: DataFrame, post: DataFrame, key: str, path: str, rows_per_file: int = 100_000) -> str:
     """Write documents (JSON shards), postings (Parquet by chunk) and a row about the build as a new version below ``path``; publish it last.
 
     A version is complete before the pointer names it, so readers never see half of one; the pointer is a row of its own.
@@ -75,6 +75,12 @@ def load(spark: SparkSession, path: str, schema: str) -> tuple[DataFrame, DataFr
     return load_docs(spark.read.schema(schema).json(f"{path}/{version}/docs")), spark.read.parquet(f"{path}/{version}/postings")
 
 
+def load_postings(spark: SparkSession, path: str) -> DataFrame:
+    """Postings of the latest published version alone; a filter on ``chunk`` reads its folders only."""
+    version = spark.read.json(f"{path}/versions").orderBy(F.desc("version")).first()["version"]
+    return spark.read.parquet(f"{path}/{version}/postings")
+
+
 def corpus(docs: DataFrame, key: str, text: Column, keywords: list[str], sites: int = 10_000) -> DataFrame:
     """The texts a vocabulary is trained on: the first ``sites`` by key, and the words of a list."""
     spark = docs.sparkSession
@@ -82,4 +88,4 @@ def corpus(docs: DataFrame, key: str, text: Column, keywords: list[str], sites:
     return docs.orderBy(key).limit(sites).select(strip(text).alias("text")).unionByName(listed)
 
 
-__all__ = ["corpus", "document_frequency", "index_text", "load", "load_docs", "postings", "rolled_up", "save", "stats", "suggest", "tokens"]
+__all__ = ["corpus", "document_frequency", "index_text", "load", "load_docs", "load_postings", "postings", "rolled_up", "save", "stats", "suggest", "tokens"]

@@ -48,6 +48,15 @@ def classify(observations: DataFrame, *keys: str) -> DataFrame:
     return observations.groupBy(*keys).agg(some.alias("_r"), none.alias("_n")).select(*keys, F.when(F.col("_r"), "registered").when(F.col("_n"), "available").otherwise("error").alias("status"))
 
 
+def matched(sent: DataFrame, received: DataFrame) -> DataFrame:
+    """(fqdn, qid, rcode, ancount) of each question (fqdn, server, qid): its first response (server, qid, got, rcode, ancount), null where none came.
+
+    A response is that of a question only if server and number are; others (late, forged) match nothing.  Nulls match nothing.
+    """
+    first = received.groupBy("server", "qid").agg(F.min(F.struct("got", "rcode", "ancount")).alias("r"))
+    return sent.join(first, ["server", "qid"], "left").select("fqdn", "server", "qid", "r.rcode", "r.ancount")
+
+
 def retried(observations: DataFrame) -> DataFrame:
     """(fqdn, status) where the second attempt counts if the first was an error."""
     each = classify(observations, "fqdn", "attempt").groupBy("fqdn").agg(F.max(F.when(F.col("attempt") == 1, F.col("status"))).alias("v1"), F.max(F.when(F.col("attempt") == 2, F.col("status"))).alias("v2"))
@@ -79,7 +88,7 @@ def healthy(probes: DataFrame) -> DataFrame:
 
 def sampled_servers(fqdn: DataFrame, servers: list[str], k: int, seed: int = 0) -> DataFrame:
     """(fqdn, server): ``k`` servers of each name in the order of a hash, from a list of a few hundred."""
-    ranked = F.array_sort(F.transform(F.array(*[F.lit(s) for s in servers]), lambda s: F.struct(F.xxhash64(F.col("fqdn"), s, F.lit(seed)).alias("h"), s.alias("s"))))
+    ranked = F.array_sort(F.transform(F.array(*[F.lit(s) for s in servers]), lambda s: F.struct(F.md5(F.concat_ws("|", F.col("fqdn"), s, F.lit(str(seed)))).alias("h"), s.alias("s"))))
     return fqdn.select("fqdn", F.explode(F.slice(ranked, 1, k)).alias("x")).select("fqdn", F.col("x.s").alias("server"))
 
 

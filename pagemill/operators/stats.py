@@ -72,11 +72,21 @@ def cache_hits(requests: DataFrame, key: list[str], ts: str, order: str, ttl_sec
 
     An ordered fold for each key, streamed through sorted partitions.  Keys are folded in sessions of requests that start where the gap to
     the one before exceeds the time to live, for there nothing of what came before counts; a key's sessions are spread over tasks.
+    Sessions are found from the first and last request of each stretch of time as long as the time to live, by partial aggregation: within one
+    no gap is that long, so only these ends are ever ordered for a key, however many requests it has.
     """
-    w = Window.partitionBy(*key).orderBy(ts, order)
-    gap = F.unix_micros(F.col(ts).cast("timestamp")) - F.lag(F.unix_micros(F.col(ts).cast("timestamp"))).over(w)
-    marked = requests.withColumn("_new", F.coalesce(gap > ttl_seconds * 1_000_000, F.lit(True)).cast("long"))
-    parted = marked.withColumn("_s", F.sum("_new").over(w))
+    width = max(1, ttl_seconds * 1_000_000)
+    at = F.unix_micros(F.col(ts).cast("timestamp"))
+    stretch = F.floor(at / F.lit(width)).alias("_b")
+    keys = [F.col(k).alias(f"_k{i}") for i, k in enumerate(key)]
+    ends = requests.select(*keys, stretch, at.alias("_t")).groupBy(*[f"_k{i}" for i in range(len(key))], "_b").agg(F.min("_t").alias("_lo"), F.max("_t").alias("_hi"))
+    w = Window.partitionBy(*[f"_k{i}" for i in range(len(key))]).orderBy("_b")
+    new = F.coalesce(F.col("_lo") - F.lag("_hi").over(w) > ttl_seconds * 1_000_000, F.lit(True)).cast("long")
+    found = ends.withColumn("_new", new).withColumn("_s", F.sum("_new").over(w)).select(*[f"_k{i}" for i in range(len(key))], "_b", "_s")
+    same = F.col("_b").eqNullSafe(F.col("_rb"))
+    for i, k in enumerate(key):
+        same = same & F.col(k).eqNullSafe(F.col(f"_k{i}"))
+    parted = requests.withColumn("_rb", stretch).join(found, same).select(*requests.columns, "_s")
     schema = ", ".join(f"`{n}` {t}" for n, t in [*requests.dtypes, ("hit", "boolean")])
 
     def fold(batches):
@@ -89,6 +99,6 @@ def cache_hits(requests: DataFrame, key: list[str], ts: str, order: str, ttl_sec
                 hit = put is not None and (t - put).total_seconds() <= ttl_seconds
                 put = put if hit else t
                 hits.append(hit)
-            yield pdf.drop(columns=["_new", "_s"]).assign(hit=hits)
+            yield pdf.drop(columns=["_s"]).assign(hit=hits)
 
     return parted.repartition(*key, "_s").sortWithinPartitions(*key, "_s", ts, order).mapInPandas(fold, schema)

@@ -82,8 +82,8 @@ def save_results(results: DataFrame, path: str) -> None:
 
 
 def write_list(df: DataFrame, order: list[str], column: str, path: str) -> None:
-    """One text file of a column in order: names of a dry run, discovered domains."""
-    df.orderBy(*order).select(F.col(column).cast("string").alias("value")).coalesce(1).write.mode("overwrite").text(path)
+    """A column in order as text: names of a dry run, discovered domains.  Files are in order by name, each a range of the order, so no task has more than one."""
+    df.orderBy(*order).select(F.col(column).cast("string").alias("value")).write.mode("overwrite").text(path)
 
 
 def overwrite(df: DataFrame, path: str) -> None:

@@ -67,14 +67,16 @@ def run_available(df: DataFrame, checkpoint: str, write, mode: str = "update") -
 
 
 def counts_of_files(spark: SparkSession, path: str, schema, work: str, query: str = "query") -> DataFrame:
-    """``running_counts`` of a folder of files through a stream that ends; the result is its last complete table below ``work``."""
+    """``running_counts`` of a folder of files through a stream that ends, below ``work``.
+
+    Each batch writes the counts that it changed under its number, so a batch that is done again replaces itself; the result is the last count of each query.
+    """
     def write(batch: DataFrame, number: int) -> None:
-        batch.write.mode("overwrite").parquet(f"{work}/out/{number:08d}")
-        spark.createDataFrame([(number,)], "number long").write.mode("overwrite").parquet(f"{work}/last")
+        batch.write.mode("overwrite").parquet(f"{work}/out/number={number}")
 
-    run_available(running_counts(read_log(spark, path, schema), query), f"{work}/checkpoint", write, "complete")
-    last = spark.read.parquet(f"{work}/last").first()[0]
-    return spark.read.parquet(f"{work}/out/{last:08d}")
+    run_available(running_counts(read_log(spark, path, schema), query), f"{work}/checkpoint", write, "update")
+    written = spark.read.schema("query string, n long, number long").parquet(f"{work}/out")
+    return written.groupBy("query").agg(F.max_by("n", "number").alias("n"))
 
 
 def start_flushing(df: DataFrame, checkpoint: str, write, every: str = "60 seconds", mode: str = "update"):

@@ -241,7 +241,26 @@ def test_tools(spark, tmp_path):
     xml = tools.sitemap(spark.createDataFrame([("a.example", '<a href="/x">')], "domain string, html string")).first()["xml"]
     assert "<loc>https://a.example/x</loc>" in xml
     files.write_list(spark.createDataFrame([(2, "b"), (1, "a")], "n int, v string"), ["n"], "v", str(tmp_path / "l"))
-    assert [r[0] for r in spark.read.text(str(tmp_path / "l")).collect()] == ["a", "b"]
+    assert "".join(p.read_text() for p in sorted((tmp_path / "l").glob("part-*"))) == "a\nb\n"
+
+
+def test_queue_is_drained_into_documents(spark):
+    queue = spark.createDataFrame([("u1", False), ("u2", False), ("u3", True), ("u4", False)], "url string, done boolean")
+    docs = spark.createDataFrame([("u1", "old")], "url string, title string")
+    fetched = spark.createDataFrame([("u1", "new"), ("u2", "two"), ("u2", "two"), ("u4", "four")], "url string, title string")
+    left, found = federate.ingested(queue, fetched, docs, 2)
+    assert {tuple(r) for r in left.collect()} == {("u1", True), ("u2", True), ("u3", True), ("u4", False)}
+    assert sorted(map(tuple, found.collect())) == [("u1", "old"), ("u2", "two")]
+    assert dedup.removed(docs, queue.where("done"), "url").count() == 1 and dedup.removed(docs, queue, "url").count() == 0
+    empty = federate.ingested(queue.limit(0), fetched.limit(0), docs.limit(0))
+    assert empty[0].count() == 0 and empty[1].count() == 0
+
+
+def test_parse_query(spark):
+    from pagemill.functions.urls import parse_query
+
+    df = spark.createDataFrame([("q=a+b&p=2&q=%41&x&=y&z=1=2",), ("",), (None,)], "q string")
+    assert [r[0] for r in df.select(parse_query(F.col("q"))).collect()] == [{"q": "A", "p": "2", "x": "", "": "y", "z": "1=2"}, {}, None]
 
 
 def test_flush_and_progress(spark, tmp_path):
