@@ -23,8 +23,10 @@ def reservoir_key(score: Column, ident: Column, temperature: float, seed: int) -
     return F.when(s > 0, F.log(s) - temperature * F.log(-F.log(u)))
 
 
-def cap_contributors(df: DataFrame, key: str, contributor: str, score: str, cap: int, *, temperature: float = 0.0, seed: int = 0) -> DataFrame:
-    """``df``'s (key, contributor, kept): false for the rows that must go for each contributor to keep at most ``cap``.
+def cap_contributors(df: DataFrame, key: str, contributor: str, score: str, cap: int | None = None, *, share: float | None = None, temperature: float = 0.0, seed: int = 0) -> DataFrame:
+    """``df``'s (key, contributor, kept): false for the rows that must go for each contributor to keep at most ``cap``, or at most ``share`` of all rows of ``df``.
+
+    With both, the smaller limit holds; a share is rounded down.
 
     Reservoirs of the ``cap`` largest keys are kept for each contributor and partition before the shuffle (the window
     limit), so a contributor with a third of all rows sends ``cap`` rows from each; the smallest key of the merged reservoir
@@ -32,7 +34,12 @@ def cap_contributors(df: DataFrame, key: str, contributor: str, score: str, cap:
     rows with a null contributor all stay; a null ``key`` ranks after the others.  ``cap`` 0 lets every known contributor's rows go.
     """
     none = F.col("_k").isNull()
+    if cap is None and share is None:
+        raise ValueError("a cap or a share is needed")
     rows = durable(df.select(F.col(key).alias("_id"), F.col(contributor).alias("_c"), reservoir_key(F.col(score).cast("double"), F.col(key), temperature, seed).alias("_k")), "keys")
+    if share is not None:
+        part = int(rows.count() * share)
+        cap = part if cap is None else min(cap, part)
     order = [F.col("_k").desc_nulls_last(), F.col("_id").asc_nulls_last()]
     bounds = (rows.where(F.col("_c").isNotNull()).withColumn("_r", F.row_number().over(Window.partitionBy("_c").orderBy(*order)))
               .where(F.col("_r") <= max(cap, 1)).where(F.col("_r") == max(cap, 1)).select("_c", F.col("_k").alias("_bk"), F.col("_id").alias("_bid")))

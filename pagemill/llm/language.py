@@ -183,11 +183,13 @@ def languages(df: DataFrame, key: str, text: str, lang: str, codes: list[str], *
     Segments: start, end (code points), sentence (a full one), lang, confidence.  The classifier is fitted on at most
     ``sentences`` sentences for each language, of labelled documents whose labels may be wrong; scoring reads all
     texts.  Null, empty and blank texts have no segment; rows with equal keys are scored each.  Without
-    any labelled sentence of two languages or more there is nothing to learn from: an error.
+    labelled sentences of two languages or more there is nothing to learn from: a ValueError, but for tables without any text.
     """
     said = training_sentences(df, key, text, lang, codes, documents, sentences)
     known = [c for c in codes if any(x == c for x, _ in said)]
-    if not known:
+    if len(known) < 2:
+        if df.where(F.length(F.trim(F.col(text))) > 0).take(1):
+            raise ValueError(f"labelled sentences of two languages or more are needed, found: {known}")
         weights = np.zeros((CELLS, len(codes)), np.float32)
         known = list(codes)
     else:
