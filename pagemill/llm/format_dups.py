@@ -44,9 +44,9 @@ def query_fields(c: Column) -> Column:
 
 
 def codes(fields: Column) -> Column:
-    """A record as a compact tuple: the sorted 64-bit identifiers of its fields, after one 64-bit check value of them all.
+    """A record as a compact tuple without a dictionary: the sorted 64-bit hashes of its fields, after one 64-bit check value of them all.
 
-    The identifiers come from a hash instead of a counter, so the dictionary needs neither shuffle nor join.
+    For keys that must be the same in every batch and session (``history``).
     Two unlike records fall together only if a field's identifier and the check value agree by chance: 2**-128 a pair.
     """
     return F.concat(F.array(F.xxhash64(F.lit("check"), F.array_join(F.array_sort(fields), "\x1f"))), F.array_sort(F.transform(fields, lambda x: F.xxhash64(x))))
@@ -56,15 +56,21 @@ def format_duplicates(df: DataFrame, key: str, value: str, fields) -> DataFrame:
     """Groups of equal records: (first_id, copy_id, copies), a row for each record of a group but the one with the smallest key.
 
     ``fields`` maps the column ``_raw`` to an array of canonical fields, or null where the record is no case.  Each
-    distinct value is canonicalised once; the groups are formed over distinct values with partial counts, and both ways
-    back to the records are lookups safe against hot keys.  Rows with a null key or value are no case; ``copies`` is
-    the number of records of the group.  Byte-identical rows with the same key are one record.
+    distinct value is canonicalised once.  Its fields are encoded by a dictionary: each distinct field is an integer, numbered as the dictionary is
+    written; so records are compact tuples of sorted integers, and the groups are formed over tuples with partial counts.  Equal tuples are equal records, nothing
+    is hashed.  The ways into the dictionary and back to the records are lookups safe against hot fields and values.  Rows with a null key or value are no case; ``copies`` is
+    the number of rows of the group, those included that repeat a key; a repeated row comes out once.
     """
     rows = df.select(F.col(key).alias("copy_id"), F.col(value).alias("_raw")).where(F.col("copy_id").isNotNull() & F.col("_raw").isNotNull())
     values = rows.groupBy("_raw").agg(F.min("copy_id").alias("_first"), F.count("*").alias("_n"))
-    coded = durable(values.withColumn("_f", fields(F.col("_raw"))).where(F.col("_f").isNotNull())
-                    .select("_raw", "_first", "_n", codes(F.col("_f")).alias("_code")), "codes")
-    groups = coded.groupBy("_code").agg(F.min("_first").alias("first_id"), F.sum("_n").alias("copies")).where("copies > 1")
-    known = lookup(coded.select("_raw", "_first", "_code"), groups, "_code", F.col("_first"), "inner").select("_raw", "first_id", "copies")
-    found = lookup(rows, durable(known, "known"), "_raw", F.col("copy_id"), "inner")
+    values = durable(values.withColumn("_f", fields(F.col("_raw"))).where(F.col("_f").isNotNull()).withColumn("_v", F.monotonically_increasing_id()), "values")
+    parts = values.select("_v", "_first", "_n", F.explode("_f").alias("_field"))
+    dictionary = durable(parts.select("_field").distinct().withColumn("_i", F.monotonically_increasing_id()), "dictionary")
+    tuples = lookup(parts, dictionary, "_field", F.col("_v")).groupBy("_v").agg(
+        F.array_sort(F.collect_list("_i")).alias("_code"), F.first("_first").alias("_first"), F.first("_n").alias("_n"))
+    tuples = durable(tuples, "tuples")
+    groups = tuples.groupBy("_code").agg(F.min("_first").alias("first_id"), F.sum("_n").alias("copies")).where("copies > 1")
+    known = lookup(tuples.select("_v", "_code"), groups, "_code", F.col("_v"), "inner").select("_v", "first_id", "copies")
+    known = durable(values.select("_v", "_raw").join(known, "_v").drop("_v"), "known")
+    found = lookup(rows, known, "_raw", F.col("copy_id"), "inner")
     return found.where("copy_id <> first_id").select("first_id", "copy_id", "copies").distinct()

@@ -102,13 +102,13 @@ _SP = r"\s\x{0B}\x{1c}-\x{1f}\x{85}\p{Z}"
 
 def _p2_sql() -> str:
     alnum = lambda x: f"regexp_replace(lower({x}), '[^\\p{{L}}\\p{{N}}]+', '', 'g')"
-    op = rf"(?i)(?:site|lang|after|filetype):[^{_SP}]*"
+    op = rf"(?i)(^|[^\p{{L}}\p{{N}}])((?:site|lang|after|filetype):[^{_SP}]*)"
     return f"""
 WITH u AS (SELECT result_id AS id, url, CASE WHEN instr(url, '?') > 0 THEN substr(url, 1, instr(url, '?') - 1) ELSE url END AS head,
                   CASE WHEN instr(url, '?') > 0 THEN substr(url, instr(url, '?') + 1) ELSE '' END AS tail FROM meta_results WHERE url IS NOT NULL),
 uk AS (SELECT 'meta_results' AS src, id, {alnum('head')} || '/' || array_to_string(list_sort(list_filter(list_transform(string_split(tail, '&'), lambda p: {alnum('p')}), lambda p: p <> '')), '&') AS k FROM u WHERE {alnum('head')} <> ''),
-q AS (SELECT stat_id AS id, query, array_to_string(list_sort(list_filter(list_transform(regexp_extract_all(query, '{op}'), lambda p: {alnum("regexp_replace(p, ':', ' ')")}), lambda p: NOT (p IN ('site','lang','after','filetype')))), '&') AS ops,
-             {alnum(f"regexp_replace(query, '{op}', ' ', 'g')")} AS rest FROM query_stats WHERE query IS NOT NULL),
+q AS (SELECT stat_id AS id, query, array_to_string(list_sort(list_filter(list_transform(regexp_extract_all(query, '{op}', 2), lambda p: {alnum("regexp_replace(p, ':', ' ')")}), lambda p: NOT (p IN ('site','lang','after','filetype')))), '&') AS ops,
+             {alnum(f"regexp_replace(query, '{op}', '\\1 ', 'g')")} AS rest FROM query_stats WHERE query IS NOT NULL),
 qk AS (SELECT 'query_stats' AS src, id, rest || '/' || ops AS k FROM q WHERE rest || ops <> ''),
 a AS (SELECT src, id, min(id) OVER (PARTITION BY src, k) AS first_id FROM (SELECT * FROM uk UNION ALL SELECT * FROM qk))
 SELECT src, first_id, id AS copy_id FROM a WHERE id <> first_id"""
