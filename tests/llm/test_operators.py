@@ -101,7 +101,7 @@ def test_history(spark, one_by_one):
         for b in range(3):
             got |= {r["id"]: r["first_id"] for r in h.add(df.where(F.col("b") == b), "id", "url", "t").collect()}
             h = history.History.open(spark.newSession(), path)  # a new session, which knows nothing but the path
-        assert any(s.level for s in h.shards) and any(s.routed for s in h.shards) and h.urls["additions"] == 3
+        assert any(s.level for s in h.shards) and any(s.routed for s in h.shards) and len(h.urls["parts"]) == 3
         rows = [r for r in rows if r[1] < 3]
     else:
         got = {r["id"]: r["first_id"] for r in history.repeats(df, "b", "id", "url", "t", together=100).collect()}
@@ -180,7 +180,11 @@ def test_cap(spark):
         assert {r["id"] for r in cap.cap_contributors(df, "id", "c", "s", n).where("not kept").collect()} == gone
     some = cap.cap_contributors(df, "id", "c", "s", 20, temperature=1.0)
     assert {r["c"]: r["n"] for r in some.where("kept and c is not null").groupBy("c").agg(F.count("*").alias("n")).collect()} == {"x": 20, "y": 20}
-    assert cap.cap_contributors(df.limit(0), "id", "c", "s", 5).count() == 0
+    assert cap.cap_contributors(df.limit(0), "id", "c", "s", 5).count() == 0 and cap.cap_contributors(df.limit(0), "id", "c", "s", share=0.1).count() == 0
+    kept = lambda **o: {r["c"]: r["n"] for r in cap.cap_contributors(df, "id", "c", "s", **o).where("kept and c is not null").groupBy("c").agg(F.count("*").alias("n")).collect()}
+    assert kept(share=0.051) == {"x": 15, "y": 15} and kept(cap=12, share=0.051) == {"x": 12, "y": 12}
+    with pytest.raises(ValueError):
+        cap.cap_contributors(df, "id", "c", "s")
     d = spark.createDataFrame([(" A.Example. 　",), (" .",), (None,)], "d string").select(cap.clean_domain(F.col("d"))).collect()
     assert [r[0] for r in d] == ["a.example", None, None]
 
@@ -443,6 +447,9 @@ def test_languages(spark):
     text = dict((r[0], r[1]) for r in rows)
     assert all(0 <= s["start"] < s["end"] <= len(text[r["k"]]) for r in scored for s in r["segments"])
     assert language.spoken(language.languages(df.limit(0), "k", "t", "l", sorted(LANG)), "k").count() == 0
+    for one in (df.where("l = 'en' or l is null"), df.withColumn("l", F.lit(None).cast("string"))):
+        with pytest.raises(ValueError):
+            language.languages(one, "k", "t", "l", sorted(LANG))
 
 
 def test_held_out_accuracy():
