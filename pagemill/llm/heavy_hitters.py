@@ -51,23 +51,23 @@ class Sketch:
 
 
 def _partial(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Counts by value within each batch: a hot value crosses the shuffle once for a batch."""
+    """Counts by hash within each batch: a hot value crosses the shuffle once for a batch."""
     for b in batches:
         if b.num_rows:
             v = pc.value_counts(b.column(0))
-            yield pa.record_batch([v.field("values"), v.field("counts").cast(pa.int64())], names=["v", "n"])
+            yield pa.record_batch([v.field("values"), v.field("counts").cast(pa.int64())], names=["h", "n"])
 
 
 def _sketch(width: int, depth: int, heap: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         s = Sketch(width, depth, heap)
         for b in batches:
-            g = pa.table(b).group_by(["v", "h"]).aggregate([("n", "sum")]).combine_chunks()
+            g = pa.table(b).group_by("h").aggregate([("n", "sum")]).combine_chunks()
             if g.num_rows:
-                s.add(g["v"].chunk(0), g["h"].to_numpy().astype(np.uint64), g["n_sum"].to_numpy())
+                s.add(g["h"].chunk(0), g["h"].to_numpy().astype(np.uint64), g["n_sum"].to_numpy())
         if s.total:
             top = sorted(s.best.items(), key=lambda x: (-x[1], x[0]))[:heap]
-            yield pa.record_batch([pa.array([None, *(v for v, _ in top)], pa.string()), pa.array([s.total, *(n for _, n in top)], pa.int64())], names=["v", "n"])
+            yield pa.record_batch([pa.array([None, *(v for v, _ in top)], pa.int64()), pa.array([s.total, *(n for _, n in top)], pa.int64())], names=["h", "n"])
 
     return run
 
@@ -77,19 +77,21 @@ def heavy_hitters(df: DataFrame, value: str, *, key: str | None = None, support:
     """Values that make up at least ``support`` of all rows: (value, approx_count, total).
 
     ``value`` is a string column; rows whose value is null or empty don't count.  Rows with the same ``key`` and value
-    count once (repeated deliveries); rows with a null key all count.  The rows, counted within each Arrow batch, go by
-    hash of the value to sketches, so that each value is in exactly one and the heaps are disjoint; a hot value
-    arrives as one row of a batch.  Memory of a task: ``width * depth`` cells and ``2 * heap`` values, whatever the
+    count once (repeated deliveries); rows with a null key all count.  Values take part as 64-bit hashes, so texts aren't shuffled.  The rows, counted
+    within each Arrow batch, go by hash to sketches, so that each value is in exactly one and the heaps are disjoint; a hot value
+    arrives as one row of a batch.  Memory of a task: ``width * depth`` cells and ``2 * heap`` hashes, whatever the
     data.  Estimates are never below the truth, and above it by more than e/width of a partition's rows with
-    probability exp(-depth) at most.  ``heap`` must be at least 2/support.  An empty table gives no row.
+    probability exp(-depth) at most.  Only the rows of the candidates, those whose estimate reaches ``support``, are read again, for their texts and
+    exact counts: so nothing below ``support`` comes out.  ``heap`` must be at least 2/support.  An empty table gives no row.
     """
     if heap * support < 2:
         raise ValueError("heap must be at least 2 / support")
-    rows = df.select(F.col(value).alias("v"), *([F.col(key).alias("k")] if key else [])).where(F.col("v") != "")
-    if key:
-        rows = rows.select("k", F.when(F.col("k").isNull(), F.monotonically_increasing_id()).alias("_null"), "v").distinct().select("v")
-    parts = rows.mapInArrow(_partial, "v string, n long").withColumn("h", F.xxhash64("v")).repartition("h")
-    found = durable(parts.select("v", "h", "n").mapInArrow(_sketch(width, depth, heap), "v string, n long"), "heaps")
-    total = found.where("v is null").agg(F.sum("n")).first()[0] or 0
-    return found.where(F.col("v").isNotNull() & (F.col("n") >= support * total)).select(
-        F.col("v").alias("value"), F.col("n").alias("approx_count"), F.lit(total).cast("long").alias("total"))
+    rows = df.select(F.col(value).alias("v"), *([F.col(key).alias("k")] if key else [])).where(F.col("v") != "").withColumn("h", F.xxhash64("v"))
+    # a row without a key is told apart by its place, which nothing else is computed from
+    once = lambda some, c: some.select("k", F.when(F.col("k").isNull(), F.monotonically_increasing_id()).alias("_null"), c).distinct().select(c) if key else some.select(c)
+    parts = once(rows, "h").mapInArrow(_partial, "h long, n long").repartition("h")
+    found = durable(parts.mapInArrow(_sketch(width, depth, heap), "h long, n long"), "heaps")
+    total = found.where("h is null").agg(F.sum("n")).first()[0] or 0
+    likely = found.where(F.col("h").isNotNull() & (F.col("n") >= support * total)).select("h")  # some 1/support hashes, heap of each partition at most
+    counts = once(rows.join(F.broadcast(likely), "h", "left_semi"), "v").groupBy("v").agg(F.count("*").alias("n"))
+    return counts.where(F.col("n") >= support * total).select(F.col("v").alias("value"), F.col("n").alias("approx_count"), F.lit(total).cast("long").alias("total"))
