@@ -376,11 +376,16 @@ def search_phrase_scan(spark, d):
     return _tenths(_index(spark, d).search("a site:mallorix.shop.example"))
 
 
+def _vocabulary(docs: DataFrame) -> bpe.Vocabulary:
+    """A vocabulary of the default size, trained on the whole text of every page with its keywords."""
+    return bpe.train(docs.select("doc_id", index.index_text().alias("text")), "doc_id", "text", bpe.DEFAULT)
+
+
 @query()
 def search_bpe(spark, d):
     """The same search over tokens of a trained byte-pair vocabulary instead of words."""
     docs = table(spark, d, "doc_meta")
-    v = bpe.train(docs, "doc_id", "title", 2000)
+    v = _vocabulary(docs)
     post = index.postings(docs, "doc_id", v.encoder(spark, "array<string>")(F.lower(index.index_text())))
     return _tenths(search.page(search.SearchIndex(docs, post, tokenize=v.tokenize).search("Linen sofa")))
 
@@ -516,21 +521,20 @@ def bpe_pair_counts(spark, d):
 
 @query()
 def bpe_train_merges(spark, d):
-    v = bpe.train(table(spark, d, "doc_meta"), "doc_id", "title", 1500)
+    v = _vocabulary(table(spark, d, "doc_meta"))
     return v.frames(spark)[1]
 
 
 @query()
 def bpe_encode(spark, d):
     docs = table(spark, d, "doc_meta")
-    v = bpe.train(docs, "doc_id", "title", 1500)
-    return docs.select("doc_id", v.encoder(spark)(F.coalesce("title", F.lit(""))).alias("ids"))
+    return docs.select("doc_id", _vocabulary(docs).encoder(spark)(F.coalesce(index.index_text(), F.lit(""))).alias("ids"))
 
 
 # ---------------------------------------------------------------------------------------------- names and observations
 V_TLDS = [(0, "com"), (1, "net"), (2, "hk"), (3, "hk"), (4, "co.example")]
-_CS = "12ab"
-_NAMES = " UNION ALL ".join(f"SELECT {n} AS length, id, " + " || ".join(f"substr('{_CS}', CAST((id // {4 ** k}) % 4 + 1 AS INTEGER), 1)" for k in range(n - 1, -1, -1)) + f" AS name FROM range({4 ** n}) r(id)" for n in (1, 2, 3))
+_CS = "abcdefghijklmnopqrstuvwxyz0123456789"
+_NAMES = " UNION ALL ".join(f"SELECT {n} AS length, id, " + " || ".join(f"substr('{_CS}', CAST((id // {36 ** k}) % 36 + 1 AS INTEGER), 1)" for k in range(n - 1, -1, -1)) + f" AS name FROM range({36 ** n}) r(id)" for n in (1, 2, 3))
 
 
 @query(f"SELECT * FROM ({_NAMES})")

@@ -13,8 +13,8 @@ from pyspark.sql import Column, DataFrame, functions as F
 from pagemill.functions.hashing import hex_bytes
 from pagemill.functions.urls import SPACE
 
-#: Words of so many bytes are trained on, so many of them at most, and the bounds of a vocabulary.
-BYTES, MOST_WORDS, SMALLEST, LARGEST = (2, 64), 50_000, 300, 1_000_000
+#: Words of so many bytes are trained on, so many of them at most, the bounds of a vocabulary, and its size by default.
+BYTES, MOST_WORDS, SMALLEST, LARGEST, DEFAULT = (2, 64), 50_000, 300, 1_000_000, 81_920
 
 
 def words_in_order(df: DataFrame, key: str, text: str, most: int | None = MOST_WORDS) -> DataFrame:

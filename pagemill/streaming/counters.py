@@ -61,6 +61,38 @@ def cache_stream(stream: DataFrame, key: str, ts: str, ttl_seconds: int = 60, la
     return rows.groupBy(key).applyInPandasWithState(fold, f"{key} {kind}, {ts} timestamp, hit boolean", "put long", "append", GroupStateTimeout.EventTimeTimeout)
 
 
+def bounded_cache_stream(stream: DataFrame, node: str, key: str, ts: str, *, ttl_seconds: int = 60, capacity: int = 1000) -> DataFrame:
+    """(node, key, ts, hit) for each request of each node's own cache of at most ``capacity`` entries, in order of ``ts`` and then ``key`` within a micro-batch.
+
+    A miss puts an entry; beyond the capacity the entry put first goes, whether used or not.  A hit doesn't renew; an expired entry is put again, as
+    the youngest.  A row with a null key is a rebuild: it empties the cache, and its ``hit`` is null.  State is bounded by the capacity, and a null node is a node.
+    """
+
+    def fold(k, batches: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
+        cache = dict(zip(*state.get)) if state.exists else {}
+        rows = pd.concat(batches).sort_values([ts, key], kind="stable", na_position="first")
+        hits: list[bool | None] = []
+        for t, x in zip(rows[ts], rows[key]):
+            if x is None or x != x:
+                cache.clear()
+                hits.append(None)
+                continue
+            at = t.value // 1000
+            hit = x in cache and at - cache[x] <= ttl_seconds * 1_000_000
+            if not hit:
+                cache.pop(x, None)
+                cache[x] = at
+                if len(cache) > capacity:
+                    del cache[next(iter(cache))]
+            hits.append(hit)
+        state.update((list(cache), list(cache.values())))
+        yield pd.DataFrame({node: [k[0]] * len(rows), key: rows[key].to_numpy(), ts: rows[ts].to_numpy(), "hit": pd.array(hits, dtype="boolean")})
+
+    kinds = dict(stream.dtypes)
+    rows = stream.withColumn(ts, F.col(ts).cast("timestamp")).select(node, key, ts)
+    return rows.groupBy(node).applyInPandasWithState(fold, f"{node} {kinds[node]}, {key} {kinds[key]}, {ts} timestamp, hit boolean", f"keys array<{kinds[key]}>, puts array<long>", "append", GroupStateTimeout.NoTimeout)
+
+
 def run_available(df: DataFrame, checkpoint: str, write, mode: str = "update") -> None:
     """Drive a stream over all that is there, batch by batch through ``write(batch, number)``, and stop."""
     df.writeStream.outputMode(mode).option("checkpointLocation", checkpoint).trigger(availableNow=True).foreachBatch(write).start().awaitTermination()

@@ -263,6 +263,19 @@ def test_parse_query(spark):
     assert [r[0] for r in df.select(parse_query(F.col("q"))).collect()] == [{"q": "A", "p": "2", "x": "", "": "y", "z": "1=2"}, {}, None]
 
 
+def test_bounded_cache_stream(spark, tmp_path):
+    t0 = datetime(2025, 1, 1)
+    asks = [("a", 0), ("b", 1), ("a", 2), ("c", 3), ("a", 4), ("b", 5), (None, 6), ("b", 7), ("b", 8), ("b", 80)]
+    schema = "n string, k string, ts timestamp"
+    for part in (asks[:5], asks[5:]):  # two micro-batches
+        spark.createDataFrame([("s1", k, t0 + timedelta(seconds=s)) for k, s in part], schema).coalesce(1).write.mode("append").parquet(str(tmp_path / "in"))
+    out = []
+    stream = counters.read_log(spark, str(tmp_path / "in"), schema, 1)
+    counters.run_available(counters.bounded_cache_stream(stream, "n", "k", "ts", capacity=2), str(tmp_path / "cp"), lambda b, n: out.extend((r["k"], int((r["ts"] - t0).total_seconds()), r["hit"]) for r in b.collect()), "append")
+    # c puts out a, a puts out b
+    assert sorted(out, key=lambda x: x[1]) == [("a", 0, False), ("b", 1, False), ("a", 2, True), ("c", 3, False), ("a", 4, False), ("b", 5, False), (None, 6, None), ("b", 7, False), ("b", 8, True), ("b", 80, False)]
+
+
 def test_flush_and_progress(spark, tmp_path):
     spark.createDataFrame([("x",)], "query string").coalesce(1).write.parquet(str(tmp_path / "in"))
     told, out = [], []
