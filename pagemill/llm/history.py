@@ -4,181 +4,53 @@ from __future__ import annotations
 
 import json
 import uuid
-from collections.abc import Iterator
 from dataclasses import asdict, dataclass
 from functools import reduce
 
-import numpy as np
-import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from pagemill.llm import smallworld
-from pagemill.llm.forest import Exact, clean
+from pagemill.llm import bands
+from pagemill.llm.forest import clean
 from pagemill.llm.format_dups import codes, url_fields
 from pagemill.plans.durable import durable, new_path
 from pagemill.plans.greedy import OPEN, STAYS, decide
 from pagemill.plans.skew import lookup
 
-_SCHEMA = pa.schema([("seg", pa.int64()), ("chunk", pa.int32()), ("beam", pa.int32()), ("recall", pa.float64()), ("ids", pa.list_(pa.int64())), ("titles", pa.list_(pa.string())),
-                     ("prefixes", pa.binary()), ("sketch", pa.binary()), ("links", pa.binary())])
-_SEGMENT = "seg long, chunk int, beam int, recall double, ids array<long>, titles array<string>, prefixes binary, sketch binary, links binary"
-_TITLE = "tid long, title string, p binary, s binary, cells array<long>"
-#: Segments in a folder of a routed shard, and queries of a task.
-_SLOT, _BLOCK = 16, 32_768
-
-
-def _joined(c: pa.ChunkedArray, kind, width: int) -> np.ndarray:
-    return np.frombuffer(b"".join(c.to_pylist()), kind).reshape(-1, width)
-
-
-def _chunks(n: int, chunked: bool) -> list[int]:
-    """Bounds of the chunks of a segment: where order matters, a small one first, in which any crowd of note has its first members, and the rest."""
-    return [0, smallworld.TINY, n] if chunked and n > smallworld.TINY else [0, n]
-
-
-def _builder(chunked: bool):
-    """Rows (seg, id, title, p, s) of a segment, sorted by id, to a graph of each of its chunks."""
-
-    def run(group: pa.Table) -> pa.Table:
-        group = group.sort_by("id")
-        p, s = _joined(group.column("p"), np.uint8, smallworld.TABLES * smallworld.DEEP), _joined(group.column("s"), np.uint64, smallworld.WORDS)
-        ids, titles, rows = group.column("id").to_pylist(), group.column("title").to_pylist(), []
-        ends = _chunks(len(ids), chunked)
-        for no, (a, b) in enumerate(zip(ends, ends[1:])):
-            g = smallworld.Segment(p[a:b], s[a:b])
-            rows.append({"seg": group.column("seg")[0].as_py(), "chunk": no, "beam": g.beam, "recall": g.recall, "ids": ids[a:b], "titles": titles[a:b],
-                         "prefixes": p[a:b].tobytes(), "sketch": s[a:b].tobytes(), "links": b"" if g.links is None else g.links.tobytes()})
-        return pa.Table.from_pylist(rows, _SCHEMA)
-
-    return run
-
-
-def _open(row: dict) -> smallworld.Segment:
-    n = len(row["ids"])
-    take = lambda c, kind, width: np.frombuffer(row[c], kind).reshape(n, width)
-    links = np.frombuffer(row["links"], np.int32).reshape(n, -1) if row["links"] else np.empty((0, 0), np.int32)
-    g = smallworld.Segment(take("prefixes", np.uint8, smallworld.TABLES * smallworld.DEEP), take("sketch", np.uint64, smallworld.WORDS), links, row["beam"], row["recall"])
-    if not row["links"]:
-        g.links = None
-    return g
-
-
-def _finder(threshold: float, most_bits: int, most: int, earlier: bool):
-    """A segment and a block of queries to (tid, found, more): the ``most`` smallest ids of a segment whose titles are near by exact similarity.
-
-    Chunks are taken by id, and the candidates of a chunk too, so that a query in a crowd is done after its first partners.  With ``earlier`` the ids are
-    those of the queries too, only smaller ones count, and a last row (found null) tells that there may be more.
-    """
-
-    def run(segment: pa.Table, asked: pa.Table) -> pa.Table:
-        out: tuple[list, list] = ([], [])
-        if segment.num_rows and asked.num_rows:
-            tid = asked.column("tid").to_numpy()
-            texts = asked.column("title").to_pylist()
-            p, k = _joined(asked.column("p"), np.uint8, smallworld.TABLES * smallworld.DEEP), _joined(asked.column("s"), np.uint64, smallworld.WORDS)
-            got, more = np.zeros(len(tid), np.int64), np.zeros(len(tid), bool)
-            for row in sorted(segment.to_pylist(), key=lambda r: r["chunk"]):
-                ids = np.array(row["ids"], np.int64)
-                live = np.flatnonzero((tid > ids[0]) if earlier else (got < most))
-                full = live[got[live] >= most]
-                more[full] = True
-                live = live[got[live] < most]
-                if not len(live):
-                    continue
-                q, n = _open(row).near(p[live], k[live], most_bits)
-                if not len(q):
-                    continue
-                order = np.lexsort((n, q))
-                q, n = q[order], n[order]
-                if earlier:
-                    keep = ids[n] < tid[live[q]]
-                    q, n = q[keep], n[keep]
-                used, place = np.unique(n, return_inverse=True)
-                exact = Exact([row["titles"][x] for x in used.tolist()])
-                starts = np.flatnonzero(np.diff(q, prepend=-1))
-                for a, b in zip(starts.tolist(), [*starts[1:].tolist(), len(q)]):
-                    i, at, step = int(live[q[a]]), a, 256
-                    while at < b and got[i] < most:
-                        to = min(b, at + step)
-                        ok = n[at:to][exact.similarities(texts[i], place[at:to]) >= threshold]
-                        more[i] |= len(ok) > most - got[i]
-                        for node in ok[: most - got[i]].tolist():
-                            out[0].append(int(tid[i]))
-                            out[1].append(int(ids[node]))
-                            got[i] += 1
-                        at, step = at + step, step * 4
-                    more[i] |= at < b
-            if earlier:
-                late = tid[more].tolist()
-                out[0].extend(late)
-                out[1].extend([None] * len(late))
-        return pa.table([pa.array(out[0], pa.int64()), pa.array(out[1], pa.int64())], names=["tid", "found"])
-
-    return run
-
-
-def _sketched(cells: int):
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b in batches:
-            for at in range(0, b.num_rows, 4000):
-                part = b.slice(at, 4000)
-                p, s, c = smallworld.sketches(part.column(1).to_pylist(), cells)
-                some = [x[x >= 0].tolist() for x in c]
-                yield pa.record_batch([*part.columns, pa.array([x.tobytes() for x in p], pa.binary()), pa.array([x.tobytes() for x in s], pa.binary()), pa.array(some, pa.list_(pa.int64()))],
-                                      names=["tid", "title", "p", "s", "cells"])
-
-    return run
-
-
-def _homes(count: int):
-    """The segments, of ``count``, that a title's cells lead to."""
-    return F.array_distinct(F.transform("cells", lambda c: F.pmod(c, F.lit(count))))
-
-
-def _parts(count: int):
-    """The numbers of all parts of the segment ``seg`` of ``count``."""
-    return F.transform(F.sequence(F.lit(0).cast("long"), F.coalesce("parts", F.lit(1)) - 1), lambda o: F.col("seg") + o * F.lit(count))
+#: Titles whose keys a task sorts.
+_BLOCK = 8192
 
 
 @dataclass
 class Shard:
-    """Graphs of accepted titles at ``path``: ``count`` segments; ``routed``: each title is in the segments of its cells, and crowded segments have parts."""
+    """Accepted titles (id, title) at ``path``; ``routed``: they are met by their keys, in a shard of any size."""
 
     path: str
-    count: int
     titles: int
     level: int = 0
-    routed: bool = False
-    crowded: int = 0
+    routed: bool = True
 
-    def segments(self, spark: SparkSession) -> DataFrame:
-        return spark.read.schema(_SEGMENT + ", slot long").parquet(f"{self.path}/graphs")
-
-    def parts(self, spark: SparkSession) -> DataFrame:
-        return spark.read.schema("seg long, parts long").parquet(f"{self.path}/parts")
+    def rows(self, spark: SparkSession) -> DataFrame:
+        return spark.read.schema("id long, title string").parquet(self.path)
 
 
 class History:
     """What has been accepted so far, kept at ``path``: keys of addresses, and shards of title graphs.  ``add`` checks and takes in a batch.
 
-    *Titles.*  Each batch makes a shard of navigable small-world graphs of the titles it adds, in segments of about ``segment``; when ``fanout`` shards of a
-    level have come together, they are compacted into one of the next level.  Beams are tuned for each segment against exhaustive search and widened for
-    a query whose whole beam is near; candidates are checked exactly, by id, and only the smallest partner of a segment comes out.  Only accepted titles
-    are kept, of which no two are near, so no crowd can form.  A shard of at most ``few`` segments is searched whole.  In a larger one
-    each title is stored in the segments that its ``cells`` least gram hashes lead to, and a query visits those of its own: partners at a
-    similarity of 0.6 share one with probability 0.9995 for six cells, whatever the number of segments.  So a query visits at most
-    ``few`` segments of each of the younger shards and ``cells`` of each other; segments that nothing visits aren't read.  Crowded cells are cut into parts.
+    *Titles.*  Each batch makes a shard of the titles it adds, in files of about ``segment``; when ``fanout`` shards of a level have come together, they are
+    compacted into one of the next level.  Only accepted titles are kept, of which no two are near, so no crowd can form.  Two titles meet where they share one of
+    ``bands.BANDS`` keys; what may be near by a filter that loses none is checked exactly.  Whether two titles meet depends on these two alone, not on how many
+    there are or in which shards or additions they are; of pairs at a similarity of 0.6 0.00014 don't, of nearer ones fewer.
 
     *Addresses.*  A table of 128-bit keys in buckets of their own: a batch is brought to the buckets, the history isn't shuffled.  After 16 additions
     the files of each bucket are merged, and buckets are added as the table grows.
 
     Every state is complete before ``versions`` names it, so ``History.open`` in another session goes on where the last ``add`` ended.
-    Titles of one batch are told apart by 63-bit hashes, addresses by 128 bits.
+    Titles of one batch are told apart by 63-bit hashes, addresses by 128 bits.  ``few`` told large shards from small ones once; nothing depends on it.
     """
 
-    def __init__(self, spark: SparkSession, path: str | None = None, *, threshold: float = 0.6, least: int = 20, segment: int = 16_384, fanout: int = 4, few: int = 16, cells: int = 6, buckets: int = 8):
+    def __init__(self, spark: SparkSession, path: str | None = None, *, threshold: float = 0.6, least: int = 20, segment: int = 16_384, fanout: int = 4, few: int = 16, buckets: int = 8):
         self.spark, self.path = spark, path or new_path(spark, "history")
-        self.options = {"threshold": threshold, "least": least, "segment": segment, "fanout": fanout, "few": few, "cells": cells, "buckets": buckets}
+        self.options = {"threshold": threshold, "least": least, "segment": segment, "fanout": fanout, "few": few, "buckets": buckets}
         self.shards: list[Shard] = []
         self.urls: dict | None = None  # path, buckets, parts (one for each addition), rows
         self.version = 0
@@ -188,12 +60,6 @@ class History:
             return self.options[name]
         raise AttributeError(name)
 
-    @property
-    def most_bits(self) -> int:
-        """Bits in which sketches of a pair at the threshold differ at most, five standard deviations granted."""
-        bits, differ = 64 * smallworld.WORDS, (1 - self.threshold) / 2
-        return int(bits * differ + 5 * (bits * differ * (1 - differ)) ** 0.5)
-
     # ------------------------------------------------------------------------------------------------------------ state
     @classmethod
     def open(cls, spark: SparkSession, path: str) -> History:
@@ -246,67 +112,34 @@ class History:
         new.select("x", "y", "aid", F.lit(part).alias("part")).repartition(self.urls["buckets"], "x").write.insertInto(self._table())
 
     # ----------------------------------------------------------------------------------------------------------- titles
-    def _graphs(self, titles: DataFrame, n: int, id_: str, path: str, *, chunked: bool = False, level: int = 0) -> Shard:
-        """Write a shard of ``n`` titles (id_, title, p, s, cells)."""
-        count = max(1, -(-n // self.segment))
-        routed = count > self.few
-        rows = titles.select(F.col(id_).alias("id"), "title", "p", "s", "cells")
-        crowded = 0
-        if routed:
-            count *= self.cells
-            rows = rows.withColumn("seg", F.explode(_homes(count)))
-            parts = rows.groupBy("seg").agg(F.count("*").alias("n")).where(F.col("n") > 2 * self.segment).select("seg", F.ceil(F.col("n") / self.segment).alias("parts"))
-            parts.write.parquet(f"{path}/parts")
-            crowded = (parts := self.spark.read.schema("seg long, parts long").parquet(f"{path}/parts")).count()
-            if crowded:
-                rows = lookup(rows, parts, "seg", F.col("id")).withColumn("seg", F.col("seg") + count * F.pmod(F.xxhash64("id", F.lit(5)), F.coalesce("parts", F.lit(1))))
-        else:
-            rows = rows.withColumn("seg", F.pmod(F.xxhash64("id", F.lit(5)), F.lit(count)))
-        built = rows.select("seg", "id", "title", "p", "s").repartition(min(10_000, count), "seg").groupBy("seg").applyInArrow(_builder(chunked), _SEGMENT)
-        built.withColumn("slot", F.floor(F.pmod("seg", F.lit(count)) / _SLOT)).write.partitionBy("slot").parquet(f"{path}/graphs")
-        return Shard(path, count, n, level, routed, crowded)
-
-    def _search(self, titles: DataFrame, n: int, shards: list[Shard], *, most: int = 1, earlier: bool = False) -> DataFrame:
-        """(tid, found) of ``_finder`` for ``n`` titles (tid, title, p, s, cells) in each of their segments of each shard."""
-        blocks = max(1, -(-n // _BLOCK))
-        graphs, asks = [], []
-        for no, s in enumerate(shards):
-            visits = titles.select("tid", "title", "p", "s", "cells", F.lit(no).alias("shard"))
-            hashed = F.xxhash64("tid", F.lit(3))
-            segments = s.segments(self.spark).withColumn("shard", F.lit(no))
-            if s.routed:
-                visits = visits.withColumn("seg", F.explode(_homes(s.count)))
-                if s.crowded:
-                    visits = lookup(visits, s.parts(self.spark), "seg", F.col("tid")).withColumn(
-                        "seg", F.explode(_parts(s.count)))
-                # a segment is copied only where its queries are too many for a task
-                heavy = durable(visits.groupBy("seg").agg(F.count("*").alias("n")).select("seg", F.ceil(F.col("n") / _BLOCK).alias("blocks")), "visits")
-                slots = [r[0] for r in heavy.select(F.floor(F.pmod("seg", F.lit(s.count)) / _SLOT).alias("slot")).distinct().collect()]  # one number for _SLOT segments at most
-                segments = segments.where(F.col("slot").isin(slots))
-                visits = lookup(visits, heavy.where("blocks > 1"), "seg", F.col("tid")).withColumn("block", F.pmod(hashed, F.coalesce("blocks", F.lit(1))))
-            else:
-                visits = visits.withColumn("seg", F.explode(F.sequence(F.lit(0).cast("long"), F.lit(s.count - 1).cast("long")))).withColumn("block", F.pmod(hashed, F.lit(blocks)))
-            asks.append(visits.select("shard", "seg", "block", "tid", "title", "p", "s"))
-            graphs.append(segments.select("shard", "seg", *[f.name for f in _SCHEMA][1:]))
-        asked, kept = reduce(DataFrame.unionByName, asks), reduce(DataFrame.unionByName, graphs)
-        if blocks > 1 or any(s.routed for s in shards):
-            wanted = asked.select(F.col("shard").alias("_s"), F.col("seg").alias("_g"), F.col("block").alias("_b")).distinct()
-            kept = kept.join(wanted, (F.col("shard") == F.col("_s")) & (F.col("seg") == F.col("_g"))).select(*kept.columns, F.col("_b").alias("block"))
-        else:
-            kept = kept.withColumn("block", F.lit(0).cast("long"))
-        tasks = max(1, min(10_000, blocks * sum(s.count for s in shards)))
-        keys = ["shard", "seg", "block"]
-        left, right = kept.repartition(tasks, *keys), asked.repartition(tasks, *keys)
-        return durable(left.groupBy(*keys).cogroup(right.groupBy(*keys)).applyInArrow(_finder(self.threshold, self.most_bits, most, earlier), "tid long, found long"), "found")
+    def _shard(self, titles: DataFrame, n: int, level: int = 0) -> Shard:
+        """Write a shard of ``n`` titles (id, title)."""
+        path = self._new("shard")
+        titles.select("id", "title").repartition(max(1, min(10_000, -(-n // self.segment))), "id").write.option("compression", "zstd").parquet(path)
+        return Shard(path, n, level)
+
+    def _search(self, titles: DataFrame, n: int, known: DataFrame | None = None, m: int = 0, *, most: int = 0) -> DataFrame:
+        """(tid, found): the ids of the ``m`` titles ``known`` (id, title) that each of ``n`` titles (tid, title) is near.
+
+        Without ``known`` the smaller tids it is near, of each key the ``most`` smallest that may be; where there may be more, found is null in a last row.
+        """
+        rows = titles.select(F.lit(True).alias("asked"), F.col("tid").alias("id"), "title")
+        others = titles.select(F.col("tid").alias("id"), "title") if known is None else known
+        if known is not None:
+            rows = rows.unionByName(known.select(F.lit(False).alias("asked"), "id", "title"))
+        tasks = max(1, -(-(n + m) // _BLOCK))
+        entries = rows.repartition(tasks, "id").mapInArrow(bands.spread, "part int, asked boolean, entries binary")
+        met = entries.repartition(min(bands.PARTS, tasks), "part").mapInArrow(bands.meet(self.threshold, most), "tid long, found long")
+        met = durable(met.distinct(), "met")
+        pairs = met.where("found is not null").join(titles.select("tid", F.col("title").alias("_ta")), "tid")
+        pairs = lookup(pairs, others.select(F.col("id").alias("found"), F.col("title").alias("_tb")), "found", F.col("tid"), "inner")
+        near = pairs.select("tid", "found", "_ta", "_tb").mapInArrow(bands.verified(self.threshold), "tid long, found long")
+        return durable(near.unionByName(met.where("found is null")) if most else near, "found")
 
     def _compact(self) -> None:
         level = 0
         while len(same := [s for s in self.shards if s.level == level]) >= self.fanout:
-            nodes = [s.segments(self.spark).select(F.explode(F.arrays_zip("ids", "titles")).alias("x")) for s in same]
-            # the graphs hold a title once for each cell of a routed shard
-            flat = reduce(DataFrame.unionByName, nodes).select(F.col("x.ids").alias("tid"), F.col("x.titles").alias("title")).distinct()
-            kept = durable(flat.mapInArrow(_sketched(self.cells), _TITLE), "kept")
-            merged = self._graphs(kept, kept.count(), "tid", self._new("shard"), level=level + 1)
+            merged = self._shard(reduce(DataFrame.unionByName, [s.rows(self.spark) for s in same]), sum(s.titles for s in same), level + 1)
             self.shards = [s for s in self.shards if s.level != level] + [merged]
             level += 1
 
@@ -318,8 +151,9 @@ class History:
         its ``?`` repeat nothing; repeated rows are one.  Rows that share address and title are one class, of which only the first can be accepted.
 
         First the history is asked, by address and title.  The classes it doesn't know are compared with each other in waves: each title's
-        first few partners before it are searched in graphs of the batch, ``decide`` settles all that is certain from them, the titles accepted
-        so become graphs, and what is still open is asked there and goes into the next wave with more partners.  The first open title is always settled, and nearly all are in the first wave.
+        first partners before it are searched in the batch, ``decide`` settles all that is certain from them, and what is still open is compared with
+        the titles accepted so and goes into the next wave with more partners.  The first open title is always settled, and nearly all are in the first wave.
+        Only if a title had more partners than the first wave took are the accepted titles searched again; else that wave's pairs are all there are.
         """
         c = codes(url_fields(F.col(url)))
         u = F.struct(F.get(c, F.lit(0)).alias("x"), F.xxhash64(F.lit("tail"), c).alias("y"))
@@ -329,38 +163,34 @@ class History:
         rows = durable(rows.withColumn("ck", F.struct(F.coalesce("u.x", F.lit(0)).alias("x"), F.coalesce("u.y", F.lit(0)).alias("y"), F.coalesce("tid", F.lit(-1)).alias("t"))), "rows")
         classes = durable(rows.groupBy("ck").agg(F.min("i").alias("cid"), F.first("u").alias("u"), F.first("tid").alias("tid")), "classes")
         named = rows.where("tid is not null").groupBy("tid").agg(F.min("title").alias("title"))
-        titles = durable(named.mapInArrow(_sketched(self.cells), _TITLE), "titles")
+        titles = durable(named, "titles")
         count = titles.count()
         none = F.lit(None).cast("long")
         known = self._known_urls(rows.where("u is not null"))
         classes = lookup(classes, known, "u", F.col("cid")) if known is not None else classes.withColumn("hu", none)
-        found = self._search(titles, count, self.shards).groupBy("tid").agg(F.min("found").alias("ht")) if count and self.shards else None
+        found = None
+        if count and self.shards:
+            history = reduce(DataFrame.unionByName, [s.rows(self.spark) for s in self.shards])
+            found = self._search(titles, count, history, sum(s.titles for s in self.shards)).groupBy("tid").agg(F.min("found").alias("ht"))
         classes = lookup(classes, found, "tid", F.col("cid")) if found is not None else classes.withColumn("ht", none)
         classes = durable(classes.select("cid", "ck", "u", "tid", F.least("hu", "ht").alias("h")), "classes")
 
         todo = classes.where("h is null").select("cid", "u", "tid")
         accepted: list[DataFrame] = []
-        graphs: list[Shard] = []
-        most = 8
+        pairs: DataFrame | None = None
+        most = 32
         while True:
-            state = self._wave(todo, titles, most)
+            state, found = self._wave(todo, titles, most)
+            if pairs is None:
+                pairs, whole = found, found is None or not found.where("found is null").take(1)
             left = durable(todo.join(state.where(F.col("s").isin(STAYS, OPEN)), "cid").select("cid", "u", "tid", "s"), "left")
             stays, rest = (left.where(F.col("s") == x).drop("s") for x in (STAYS, OPEN))
             accepted.append(stays)
-            with_title = titles.join(stays.where("tid is not null").select("tid", "cid"), "tid")
-            n = stays.where("tid is not null").count()
-            if n:
-                graphs.append(self._graphs(with_title, n, "cid", self._new("shard")))
             if not rest.take(1):
                 break
             gone = stays.where("u is not null").select("u").distinct().withColumn("gu", F.lit(True))
             rest = lookup(rest, gone, "u", F.col("cid"))
-            if n:
-                asked = titles.join(rest.where("tid is not null").select("tid").distinct(), "tid", "left_semi")
-                hit = self._search(asked, count, graphs[-1:]).groupBy("tid").agg(F.min("found").alias("gt"))
-                rest = lookup(rest, hit, "tid", F.col("cid"))
-            else:
-                rest = rest.withColumn("gt", none)
+            rest = lookup(rest, self._partners(rest, stays, titles, pairs if whole else None).withColumnRenamed("aid", "gt"), "tid", F.col("cid"))
             todo = durable(rest.where("gu is null and gt is null").select("cid", "u", "tid"), "todo")
             most *= 4
 
@@ -373,10 +203,9 @@ class History:
             asks = durable(asks.select("cid", "u", "tid"), "asks")
             by_url = lookup(asks, taken.where("u is not null").groupBy("u").agg(F.min("cid").alias("aid")), "u", F.col("cid"), "inner")
             first = first.unionByName(by_url.where("aid < cid").select("cid", F.col("aid").alias("first")))
-            if graphs:
-                asked = titles.join(asks.where("tid is not null").select("tid").distinct(), "tid", "left_semi")
-                hit = self._search(asked, count, graphs).groupBy("tid").agg(F.min("found").alias("aid"))
-                first = first.unionByName(lookup(asks, hit, "tid", F.col("cid"), "inner").where("aid < cid").select("cid", F.col("aid").alias("first")))
+            whole = whole and not classes.where(F.col("h") > F.lit(bounds[0])).take(1)  # the waves' pairs are of titles the history doesn't know
+            hit = self._partners(asks, taken, titles, pairs if whole else None)
+            first = first.unionByName(lookup(asks, hit, "tid", F.col("cid"), "inner").where("aid < cid").select("cid", F.col("aid").alias("first")))
         known = classes.join(first.groupBy("cid").agg(F.min("first").alias("first")), "cid", "left").select("ck", "cid", "first")
         out = lookup(rows.select("i", "ck"), known, "ck", F.col("i"), "inner")
         out = out.select(F.when(F.col("i") == F.col("cid"), F.col("first")).otherwise(F.coalesce("first", "cid")).alias("first_id"), F.col("i").alias(key))
@@ -384,21 +213,29 @@ class History:
 
         if bounds[1]:
             self._add_urls(taken.where("u is not null").select("u.x", "u.y", F.col("cid").alias("aid")), bounds[3])
-        if len(graphs) > 1:
-            all_ = titles.join(taken.where("tid is not null").select("tid", "cid"), "tid")
-            graphs = [self._graphs(all_, bounds[2], "cid", self._new("shard"))]
-        self.shards += graphs
+        if bounds[1] and bounds[2]:
+            self.shards.append(self._shard(titles.join(taken.where("tid is not null").select("tid", F.col("cid").alias("id")), "tid"), bounds[2]))
         self._compact()
         self._publish()
         return out
 
-    def _wave(self, todo: DataFrame, titles: DataFrame, most: int) -> DataFrame:
-        """(cid, s) of classes (cid, u, tid) that the history doesn't know, from their ``most`` first partners.
+    def _partners(self, asks: DataFrame, taken: DataFrame, titles: DataFrame, pairs: DataFrame | None) -> DataFrame:
+        """(tid, aid): the smallest of the accepted classes ``taken`` whose title is near one of ``asks``; by ``pairs`` (tid, found) if they are all there are."""
+        asked, have = asks.where("tid is not null").select("tid").distinct(), taken.where("tid is not null").select("tid", F.col("cid").alias("id"))
+        if pairs is not None:
+            both = pairs.unionByName(pairs.select(F.col("found").alias("tid"), F.col("tid").alias("found"))).unionByName(asked.select("tid", F.col("tid").alias("found")))
+            near = lookup(both, have.withColumnRenamed("tid", "found"), "found", F.col("tid"), "inner")
+            return near.groupBy("tid").agg(F.min("id").alias("aid"))
+        asked, known = durable(titles.join(asked, "tid", "left_semi"), "asked"), durable(titles.join(have, "tid").select("id", "title"), "known")
+        return self._search(asked, asked.count(), known, known.count()).groupBy("tid").agg(F.min("found").alias("aid"))
+
+    def _wave(self, todo: DataFrame, titles: DataFrame, most: int) -> tuple[DataFrame, DataFrame | None]:
+        """(cid, s) of classes (cid, u, tid) that the history doesn't know, from their ``most`` first partners; and the pairs (tid, found) of titles.
 
         A title speaks and is heard through its first class here; its other classes go with it or stay open.
         """
         ranks = todo.where("tid is not null").groupBy("tid").agg(F.min("cid").alias("rank"))
-        first = durable(titles.join(ranks, "tid").select(F.col("rank").alias("tid"), F.col("tid").alias("_t"), "title", "p", "s", "cells"), "firsts")
+        first = durable(titles.join(ranks, "tid").select(F.col("rank").alias("tid"), F.col("tid").alias("_t"), "title"), "firsts")
         n = first.count()
         mine = lookup(todo, first.select(F.col("_t").alias("tid"), F.col("tid").alias("rank")), "tid", F.col("cid"))
         by_url = mine.where("u is not null").select("cid", "u.x", "u.y", F.lit(True).alias("pub"), F.lit(False).alias("more"))
@@ -406,12 +243,14 @@ class History:
         # every class has an entry, and so a state: that of its title, or of its address alone
         by_title = mine.where("rank is not null").select("cid", F.col("rank").alias("x"), zero, F.lit(True).alias("pub"), (F.col("rank") < F.col("cid")).alias("more"))
         heard = by_url.unionByName(by_title)
+        pairs = None
         if n > 1:
-            own = self._graphs(first, n, "tid", self._new("own"), chunked=True)
-            edges = self._search(first, n, [own], most=most, earlier=True)
+            edges = self._search(first, n, most=most)
             partners = edges.select(F.col("tid").alias("cid"), F.coalesce("found", F.lit(-1)).alias("x"), F.when(F.col("found").isNull(), 1).otherwise(0).cast("long").alias("y"), F.lit(False).alias("pub"), F.col("found").isNull().alias("more"))
             heard = heard.unionByName(partners.distinct())
-        return decide(durable(heard, "heard"))
+            named = first.select(F.col("tid").alias("found"), F.col("_t").alias("_f"))
+            pairs = durable(lookup(edges.join(first.select("tid", "_t"), "tid"), named, "found", F.col("tid")).select(F.col("_t").alias("tid"), F.col("_f").alias("found")), "pairs")
+        return decide(durable(heard, "heard")), pairs
 
 
 def repeats(df: DataFrame, batch: str, key: str, url: str, title: str, *, together: int = 65_536, **options) -> DataFrame:

@@ -6,10 +6,11 @@ from collections import Counter
 from pathlib import Path
 
 import numpy as np
+import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
-from pagemill.llm import cap, encode, forest, format_dups, heavy_hitters, history, language, pack, smallworld, stuffing
+from pagemill.llm import bands, cap, encode, forest, format_dups, heavy_hitters, history, language, pack, smallworld, stuffing
 from pagemill.llm import queries as Q
 from tests.compare import compare, oracle
 
@@ -119,6 +120,35 @@ def test_history_chains_and_crowds(spark):
     assert got == greedy(rows)
 
 
+@pytest.fixture
+def same_draws():
+    """Leaves the numbers that later tests draw as they are."""
+    state = RNG.getstate()
+    yield
+    RNG.setstate(state)
+
+
+def test_history_searches_once(spark, monkeypatch, same_draws):
+    """A batch is searched in itself once, and in the history once: the pairs found tell all that is asked later."""
+    calls, search = [], history.History._search
+    monkeypatch.setattr(history.History, "_search", lambda self, *args, **more: calls.append(args[1]) or search(self, *args, **more))
+    rows = stream(120)
+    df = spark.createDataFrame(rows, "id long, b int, url string, t string")
+    got = {r["id"]: r["first_id"] for r in history.repeats(df, "b", "id", "url", "t", together=50).collect()}
+    assert got == greedy(rows) and sum(n > 10 for n in calls) <= 3
+
+
+def test_similar_titles_meet(same_draws):
+    """Keys by which titles meet cost the same for each title, however many share a gram, and lead to few others."""
+    texts = [f"{RNG.randrange(10, 99)} ways to {word(7)} {word(8)} {word(6)} by {word(9)}" for _ in range(1500)]
+    batch = pa.record_batch([pa.array([True] * 1500), pa.array(range(1500), pa.int64()), pa.array(texts)], names=["asked", "id", "title"])
+    entries = list(bands.spread(iter([batch])))
+    assert sum(len(x) for b in entries for x in b.column("entries").to_pylist()) == 1500 * bands.BANDS * bands._ENTRY.itemsize
+    met = {(a, b) for r in bands.meet(0.6, 32)(iter(entries)) for a, b in zip(r.column(0).to_pylist(), r.column(1).to_pylist())}
+    near = {(a, b) for a in range(0, 1500, 10) for b in range(a) if forest.similarity(texts[a], texts[b]) >= 0.6}
+    assert near <= met and len(met) < 1500
+
+
 def test_routing_recall():
     """Titles at the threshold share a cell: what routing loses against searching every segment."""
     lost = n = 0
