@@ -149,6 +149,26 @@ def test_similar_titles_meet(same_draws):
     assert near <= met and len(met) < 1500
 
 
+def test_history_of_any_size(spark):
+    """What is near is found in a small history and in one of many segments: pairs that share none of their six least gram hashes too."""
+    rng, pairs = random.Random(5), []
+    while len(pairs) < 6:
+        texts = []
+        for _ in range(2000):
+            t = ["".join(rng.choice("abcdefghijklmnopqrstuvwxyz") for _ in range(6)) for _ in range(9)]
+            e = list(t)
+            e[rng.randrange(9)] = e[rng.randrange(9)] = "xyxyxy"
+            texts += [" ".join(t), " ".join(e)]
+        cells = smallworld.sketches(texts, 6)[2]
+        pairs += [(a, b) for a, b, x, y in zip(texts[::2], texts[1::2], cells[::2], cells[1::2]) if forest.similarity(a, b) >= 0.6 and not set(x.tolist()) & set(y.tolist())]
+    pairs = pairs[:6]
+    rows = [(i, 0, None, t) for i, t in enumerate([*(a for a, _ in pairs), *texts[:600:2]])] + [(1000 + i, 1, None, b) for i, (_, b) in enumerate(pairs)]
+    df = spark.createDataFrame(rows, "id long, b int, url string, t string")
+    for options in ({}, {"segment": 16, "few": 1}):
+        found = {r["id"]: r["first_id"] for r in history.repeats(df, "b", "id", "url", "t", together=1, **options).collect()}
+        assert {i: found.get(1000 + i) for i in range(6)} == {i: i for i in range(6)}
+
+
 def test_routing_recall():
     """Titles at the threshold share a cell: what routing loses against searching every segment."""
     lost = n = 0
