@@ -118,8 +118,8 @@ class History:
         titles.select("id", "title").repartition(max(1, min(10_000, -(-n // self.segment))), "id").write.option("compression", "zstd").parquet(path)
         return Shard(path, n, level)
 
-    def _search(self, titles: DataFrame, n: int, known: DataFrame | None = None, m: int = 0, *, most: int = 0) -> DataFrame:
-        """(tid, found): the ids of the ``m`` titles ``known`` (id, title) that each of ``n`` titles (tid, title) is near.
+    def _search(self, titles: DataFrame, n: int, known: DataFrame | None = None, m: int = 0, *, most: int = 0) -> tuple[DataFrame, int, bool]:
+        """(tid, found): the ids of the ``m`` titles ``known`` (id, title) that each of ``n`` titles (tid, title) is near; the most rows that share an id; if that is all.
 
         Without ``known`` the smaller tids it is near, of each key the ``most`` smallest that may be; where there may be more, found is null in a last row.
         """
@@ -131,10 +131,13 @@ class History:
         entries = rows.repartition(tasks, "id").mapInArrow(bands.spread, "part int, asked boolean, entries binary")
         met = entries.repartition(min(bands.PARTS, tasks), "part").mapInArrow(bands.meet(self.threshold, most), "tid long, found long")
         met = durable(met.distinct(), "met")
+        ids = met.select(F.explode(F.array(F.struct(F.lit(0).alias("side"), F.col("tid").alias("id")), F.struct(F.lit(1).alias("side"), F.col("found").alias("id")))).alias("k"))
+        crowd, more = ids.groupBy("k").count().agg(F.max(F.when(F.col("k.id").isNotNull(), F.col("count"))), F.max(F.col("k.id").isNull())).first()
+        crowd = crowd or 0
         pairs = met.where("found is not null").join(titles.select("tid", F.col("title").alias("_ta")), "tid")
-        pairs = lookup(pairs, others.select(F.col("id").alias("found"), F.col("title").alias("_tb")), "found", F.col("tid"), "inner")
+        pairs = lookup(pairs, others.select(F.col("id").alias("found"), F.col("title").alias("_tb")), "found", F.col("tid"), "inner", crowd)
         near = pairs.select("tid", "found", "_ta", "_tb").mapInArrow(bands.verified(self.threshold), "tid long, found long")
-        return durable(near.unionByName(met.where("found is null")) if most else near, "found")
+        return durable(near.unionByName(met.where("found is null")) if most else near, "found"), crowd, not more
 
     def _compact(self) -> None:
         level = 0
@@ -164,50 +167,59 @@ class History:
         classes = durable(rows.groupBy("ck").agg(F.min("i").alias("cid"), F.first("u").alias("u"), F.first("tid").alias("tid")), "classes")
         named = rows.where("tid is not null").groupBy("tid").agg(F.min("title").alias("title"))
         titles = durable(named, "titles")
-        count = titles.count()
+        shared = F.array("u", F.when(F.col("tid").isNotNull(), F.struct(F.col("tid").alias("x"), F.lit(None).cast("long").alias("y"))))
+        shared = rows.select(F.explode(shared).alias("k")).where("k is not null").groupBy("k").count()
+        # the most rows that share an address or a title, and so of a class
+        crowd, count = shared.agg(F.max("count"), F.count(F.when(F.col("k.y").isNull(), 1))).first()
+        crowd = crowd or 0
         none = F.lit(None).cast("long")
         known = self._known_urls(rows.where("u is not null"))
-        classes = lookup(classes, known, "u", F.col("cid")) if known is not None else classes.withColumn("hu", none)
+        classes = lookup(classes, known, "u", F.col("cid"), crowd=crowd) if known is not None else classes.withColumn("hu", none)
         found = None
         if count and self.shards:
             history = reduce(DataFrame.unionByName, [s.rows(self.spark) for s in self.shards])
-            found = self._search(titles, count, history, sum(s.titles for s in self.shards)).groupBy("tid").agg(F.min("found").alias("ht"))
-        classes = lookup(classes, found, "tid", F.col("cid")) if found is not None else classes.withColumn("ht", none)
+            found = self._search(titles, count, history, sum(s.titles for s in self.shards))[0].groupBy("tid").agg(F.min("found").alias("ht"))
+        classes = lookup(classes, found, "tid", F.col("cid"), crowd=crowd) if found is not None else classes.withColumn("ht", none)
         classes = durable(classes.select("cid", "ck", "u", "tid", F.least("hu", "ht").alias("h")), "classes")
 
         todo = classes.where("h is null").select("cid", "u", "tid")
         accepted: list[DataFrame] = []
+        counted: list[list] = []  # of each wave: the least cid accepted, classes, titles, addresses
         pairs: DataFrame | None = None
-        most = 32
+        whole, most, met = None, 32, 0
         while True:
-            state, found = self._wave(todo, titles, most)
-            if pairs is None:
-                pairs, whole = found, found is None or not found.where("found is null").take(1)
+            state, found, those, all_ = self._wave(todo, titles, most, crowd)
+            if whole is None:
+                pairs, met, whole = found, those, all_
             left = durable(todo.join(state.where(F.col("s").isin(STAYS, OPEN)), "cid").select("cid", "u", "tid", "s"), "left")
             stays, rest = (left.where(F.col("s") == x).drop("s") for x in (STAYS, OPEN))
             accepted.append(stays)
-            if not rest.take(1):
+            mine = F.col("s") == STAYS
+            some, *bounds = left.agg(F.count(F.when(~mine, 1)), F.min(F.when(mine, F.col("cid"))), *(F.count(F.when(mine, F.col(c))) for c in ("cid", "tid", "u"))).first()
+            counted.append(bounds)
+            if not some:
                 break
             gone = stays.where("u is not null").select("u").distinct().withColumn("gu", F.lit(True))
-            rest = lookup(rest, gone, "u", F.col("cid"))
-            rest = lookup(rest, self._partners(rest, stays, titles, pairs if whole else None).withColumnRenamed("aid", "gt"), "tid", F.col("cid"))
+            rest = lookup(rest, gone, "u", F.col("cid"), crowd=crowd)
+            rest = lookup(rest, self._partners(rest, stays, titles, pairs if whole else None, met).withColumnRenamed("aid", "gt"), "tid", F.col("cid"), crowd=crowd)
             todo = durable(rest.where("gu is null and gt is null").select("cid", "u", "tid"), "todo")
             most *= 4
 
         taken = reduce(DataFrame.unionByName, accepted)
-        bounds = taken.agg(F.min("cid"), F.count("*"), F.count("tid"), F.count("u")).first()
+        low, *bounds = zip(*counted)
+        bounds = [min((x for x in low if x is not None), default=None), *map(sum, bounds)]
         # who repeats what: rows the history knows need the batch only where it has smaller ids
         asks = classes.join(taken.select("cid"), "cid", "left_anti").where(F.col("h").isNull() | (F.col("h") > F.lit(bounds[0])))
         first = classes.where("h is not null").select("cid", F.col("h").alias("first"))
         if bounds[1]:
             asks = durable(asks.select("cid", "u", "tid"), "asks")
-            by_url = lookup(asks, taken.where("u is not null").groupBy("u").agg(F.min("cid").alias("aid")), "u", F.col("cid"), "inner")
+            by_url = lookup(asks, taken.where("u is not null").groupBy("u").agg(F.min("cid").alias("aid")), "u", F.col("cid"), "inner", crowd)
             first = first.unionByName(by_url.where("aid < cid").select("cid", F.col("aid").alias("first")))
             whole = whole and not classes.where(F.col("h") > F.lit(bounds[0])).take(1)  # the waves' pairs are of titles the history doesn't know
-            hit = self._partners(asks, taken, titles, pairs if whole else None)
-            first = first.unionByName(lookup(asks, hit, "tid", F.col("cid"), "inner").where("aid < cid").select("cid", F.col("aid").alias("first")))
+            hit = self._partners(asks, taken, titles, pairs if whole else None, met)
+            first = first.unionByName(lookup(asks, hit, "tid", F.col("cid"), "inner", crowd).where("aid < cid").select("cid", F.col("aid").alias("first")))
         known = classes.join(first.groupBy("cid").agg(F.min("first").alias("first")), "cid", "left").select("ck", "cid", "first")
-        out = lookup(rows.select("i", "ck"), known, "ck", F.col("i"), "inner")
+        out = lookup(rows.select("i", "ck"), known, "ck", F.col("i"), "inner", crowd)
         out = out.select(F.when(F.col("i") == F.col("cid"), F.col("first")).otherwise(F.coalesce("first", "cid")).alias("first_id"), F.col("i").alias(key))
         out = durable(out.where("first_id is not null").distinct(), "repeats")
 
@@ -219,38 +231,40 @@ class History:
         self._publish()
         return out
 
-    def _partners(self, asks: DataFrame, taken: DataFrame, titles: DataFrame, pairs: DataFrame | None) -> DataFrame:
-        """(tid, aid): the smallest of the accepted classes ``taken`` whose title is near one of ``asks``; by ``pairs`` (tid, found) if they are all there are."""
+    def _partners(self, asks: DataFrame, taken: DataFrame, titles: DataFrame, pairs: DataFrame | None, met: int) -> DataFrame:
+        """(tid, aid): the smallest of the accepted classes ``taken`` whose title is near one of ``asks``; by ``pairs`` (tid, found) if they are all there are, ``met`` at most with the same id on a side."""
         asked, have = asks.where("tid is not null").select("tid").distinct(), taken.where("tid is not null").select("tid", F.col("cid").alias("id"))
         if pairs is not None:
             both = pairs.unionByName(pairs.select(F.col("found").alias("tid"), F.col("tid").alias("found"))).unionByName(asked.select("tid", F.col("tid").alias("found")))
-            near = lookup(both, have.withColumnRenamed("tid", "found"), "found", F.col("tid"), "inner")
+            near = lookup(both, have.withColumnRenamed("tid", "found"), "found", F.col("tid"), "inner", 2 * met + 1)
             return near.groupBy("tid").agg(F.min("id").alias("aid"))
         asked, known = durable(titles.join(asked, "tid", "left_semi"), "asked"), durable(titles.join(have, "tid").select("id", "title"), "known")
-        return self._search(asked, asked.count(), known, known.count()).groupBy("tid").agg(F.min("found").alias("aid"))
+        return self._search(asked, asked.count(), known, known.count())[0].groupBy("tid").agg(F.min("found").alias("aid"))
 
-    def _wave(self, todo: DataFrame, titles: DataFrame, most: int) -> tuple[DataFrame, DataFrame | None]:
-        """(cid, s) of classes (cid, u, tid) that the history doesn't know, from their ``most`` first partners; and the pairs (tid, found) of titles.
+    def _wave(self, todo: DataFrame, titles: DataFrame, most: int, crowd: int) -> tuple[DataFrame, DataFrame | None, int, bool]:
+        """(cid, s) of classes (cid, u, tid) that the history doesn't know, from their ``most`` first partners; the pairs (tid, found) of titles, the most with the same id, and if these are all.
+
+        At most ``crowd`` classes share an address or a title.
 
         A title speaks and is heard through its first class here; its other classes go with it or stay open.
         """
         ranks = todo.where("tid is not null").groupBy("tid").agg(F.min("cid").alias("rank"))
         first = durable(titles.join(ranks, "tid").select(F.col("rank").alias("tid"), F.col("tid").alias("_t"), "title"), "firsts")
         n = first.count()
-        mine = lookup(todo, first.select(F.col("_t").alias("tid"), F.col("tid").alias("rank")), "tid", F.col("cid"))
+        mine = lookup(todo, first.select(F.col("_t").alias("tid"), F.col("tid").alias("rank")), "tid", F.col("cid"), crowd=crowd)
         by_url = mine.where("u is not null").select("cid", "u.x", "u.y", F.lit(True).alias("pub"), F.lit(False).alias("more"))
         zero = F.lit(0).cast("long").alias("y")
         # every class has an entry, and so a state: that of its title, or of its address alone
         by_title = mine.where("rank is not null").select("cid", F.col("rank").alias("x"), zero, F.lit(True).alias("pub"), (F.col("rank") < F.col("cid")).alias("more"))
         heard = by_url.unionByName(by_title)
-        pairs = None
+        pairs, met, whole = None, 0, True
         if n > 1:
-            edges = self._search(first, n, most=most)
+            edges, met, whole = self._search(first, n, most=most)
             partners = edges.select(F.col("tid").alias("cid"), F.coalesce("found", F.lit(-1)).alias("x"), F.when(F.col("found").isNull(), 1).otherwise(0).cast("long").alias("y"), F.lit(False).alias("pub"), F.col("found").isNull().alias("more"))
             heard = heard.unionByName(partners.distinct())
             named = first.select(F.col("tid").alias("found"), F.col("_t").alias("_f"))
-            pairs = durable(lookup(edges.join(first.select("tid", "_t"), "tid"), named, "found", F.col("tid")).select(F.col("_t").alias("tid"), F.col("_f").alias("found")), "pairs")
-        return decide(durable(heard, "heard")), pairs
+            pairs = durable(lookup(edges.join(first.select("tid", "_t"), "tid"), named, "found", F.col("tid"), crowd=met).select(F.col("_t").alias("tid"), F.col("_f").alias("found")), "pairs")
+        return decide(durable(heard, "heard")), pairs, met, whole
 
 
 def repeats(df: DataFrame, batch: str, key: str, url: str, title: str, *, together: int = 65_536, **options) -> DataFrame:

@@ -8,9 +8,11 @@ from pyspark.sql import Column, DataFrame, functions as F
 HOT_KEYS = 1000
 #: Hot keys are found among one of so many rows; a key that is hot in a table that matters has thousands of them.
 SAMPLED = 16
+#: Rows that may share a key of a shuffle: a task takes so many anyway.
+EVEN = 8192
 
 
-def lookup(left: DataFrame, right: DataFrame, key: str, spread: Column, how: str = "left") -> DataFrame:
+def lookup(left: DataFrame, right: DataFrame, key: str, spread: Column, how: str = "left", crowd: int | None = None) -> DataFrame:
     """``left`` with the other columns of ``right``, which has at most one row for each ``key``.
 
     The HOT_KEYS most frequent keys of ``left``, by a sample of one row in SAMPLED, meet their rows of ``right`` by broadcast (at most
@@ -18,8 +20,13 @@ def lookup(left: DataFrame, right: DataFrame, key: str, spread: Column, how: str
     The sample only places the work: what is found doesn't depend on it.
     ``spread`` scatters the rows already answered over the partitions of that shuffle.
     Null keys find nothing.  ``how`` is ``left`` or ``inner``.  Columns of both sides must differ but for the key.
+    ``crowd``: the most rows of ``left`` that share a key, where that is known; if they are EVEN or fewer no hot keys are looked for, and nothing is broadcast for them.
     """
     others = [c for c in right.columns if c != key]
+    if crowd is not None and crowd <= EVEN:
+        cold = right.select(F.col(key).alias("_ck"), F.lit(0).cast("long").alias("_cs"), *others)
+        alone = F.when(F.col(key).isNull(), F.pmod(F.xxhash64(spread), F.lit(100_000)) + 1).otherwise(F.lit(0).cast("long"))
+        return left.withColumn("_s", alone).join(cold, (F.col(key) == F.col("_ck")) & (F.col("_s") == F.col("_cs")), how).select(*left.columns, *others)
     counts = left.where(F.col(key).isNotNull() & (F.pmod(F.xxhash64(spread, F.lit(16)), F.lit(SAMPLED)) == 0)).groupBy(key).agg(F.count("*").alias("_n"))
     hot = counts.where("_n > 1").orderBy(F.desc("_n"), key).limit(HOT_KEYS).select(key)
     hot_rows = right.join(F.broadcast(hot), key, "left_semi").select(

@@ -12,6 +12,7 @@ from pyspark.sql import functions as F
 
 from pagemill.llm import bands, cap, encode, forest, format_dups, heavy_hitters, history, language, pack, smallworld, stuffing
 from pagemill.llm import queries as Q
+from pagemill.plans import skew
 from tests.compare import compare, oracle
 
 RNG = random.Random(5)
@@ -138,6 +139,19 @@ def test_history_searches_once(spark, monkeypatch, same_draws):
     assert got == greedy(rows) and sum(n > 10 for n in calls) <= 3
 
 
+@pytest.mark.parametrize("even", [-1, 8192])
+def test_history_looks_for_crowds_only(spark, monkeypatch, same_draws, even):
+    """Where no address, title or id is in more rows than a task takes, hot keys aren't broadcast; the result is the same."""
+    plans, look = [], history.lookup
+    monkeypatch.setattr(skew, "EVEN", even, raising=False)
+    monkeypatch.setattr(history, "lookup", lambda *args, **more: plans.append(look(*args, **more)) or plans[-1])
+    rows = stream(120)
+    df = spark.createDataFrame(rows, "id long, b int, url string, t string")
+    got = {r["id"]: r["first_id"] for r in history.repeats(df, "b", "id", "url", "t", together=50).collect()}
+    assert got == greedy(rows)
+    assert {"strategy=broadcast" in p._jdf.queryExecution().analyzed().toString() for p in plans} == {even < 0}
+
+
 def test_similar_titles_meet(same_draws):
     """Keys by which titles meet cost the same for each title, however many share a gram, and lead to few others."""
     texts = [f"{RNG.randrange(10, 99)} ways to {word(7)} {word(8)} {word(6)} by {word(9)}" for _ in range(1500)]
