@@ -25,12 +25,17 @@ def _mixed(g: np.ndarray) -> np.ndarray:
     return h ^ h >> np.uint64(29)
 
 
+def _grams(texts: list[str]) -> tuple[np.ndarray, np.ndarray]:
+    """Grams of each text; a text of fewer than three characters is one gram, so that it is near to its like and to no other."""
+    return grams([t if len(t) > 2 else t.ljust(3, "\0") for t in texts])
+
+
 def keys(texts: list[str]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """(keys, number of unlike grams, odd sketch) of each text.
 
     A bit of an odd sketch is the parity of the number of grams that hash to it, so that two sketches differ in no more bits than their texts in grams.
     """
-    g, own = grams(texts)
+    g, own = _grams(texts)
     known, number = np.unique(g, return_inverse=True)
     pairs = np.unique(own.astype(np.uint64) << np.uint64(32) | number.astype(np.uint64))
     own, number = (pairs >> np.uint64(32)).astype(np.int64), (pairs & np.uint64(0xFFFFFFFF)).astype(np.int64)
@@ -165,7 +170,7 @@ def meet(threshold: float, most: int):
 def similarities(left: list[str], right: list[str]) -> np.ndarray:
     """The exact similarity of each text of ``left`` to that of ``right`` in its place."""
     n = len(left)
-    g, own = grams(left + right)
+    g, own = _grams(left + right)
     _, number = np.unique(g, return_inverse=True)
     pairs = np.unique(own.astype(np.uint64) << np.uint64(32) | number.astype(np.uint64))
     size = np.bincount((pairs >> np.uint64(32)).astype(np.int64), minlength=2 * n)

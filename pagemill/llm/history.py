@@ -161,7 +161,7 @@ class History:
         c = codes(url_fields(F.col(url)))
         u = F.struct(F.get(c, F.lit(0)).alias("x"), F.xxhash64(F.lit("tail"), c).alias("y"))
         t = clean(F.col(title))
-        rows = new.where(F.col(key).isNotNull()).select(F.col(key).cast("long").alias("i"), F.when(c.isNotNull(), u).alias("u"), F.when(F.length(t) >= self.least, t).alias("title"))
+        rows = new.where(F.col(key).isNotNull()).select(F.col(key).cast("long").alias("i"), F.when(c.isNotNull(), u).alias("u"), F.when(F.length(t) >= max(1, self.least), t).alias("title"))
         rows = rows.withColumn("tid", F.when(F.col("title").isNotNull(), F.xxhash64("title").bitwiseAND(F.lit(2**63 - 1)))).where("u is not null or tid is not null")
         rows = durable(rows.withColumn("ck", F.struct(F.coalesce("u.x", F.lit(0)).alias("x"), F.coalesce("u.y", F.lit(0)).alias("y"), F.coalesce("tid", F.lit(-1)).alias("t"))), "rows")
         classes = durable(rows.groupBy("ck").agg(F.min("i").alias("cid"), F.first("u").alias("u"), F.first("tid").alias("tid")), "classes")

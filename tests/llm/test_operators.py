@@ -183,6 +183,14 @@ def test_history_of_any_size(spark):
         assert {i: found.get(1000 + i) for i in range(6)} == {i: i for i in range(6)}
 
 
+def test_history_of_short_titles(spark):
+    """Equal titles of one or two characters repeat each other, in one addition and in several; how many rows are added together tells nothing."""
+    rows = [(1, 0, None, "ab"), (2, 0, None, "cd"), (3, 0, None, "AB"), (4, 0, None, ""), (5, 1, None, "ab!"), (6, 1, None, "x"), (7, 1, None, "-"), (8, 1, None, "abc")]
+    df = spark.createDataFrame(rows, "id long, b int, url string, t string")
+    for together in (1, 100):
+        assert {r["id"]: r["first_id"] for r in history.repeats(df, "b", "id", "url", "t", together=together, least=0).collect()} == {3: 1, 5: 1}
+
+
 def test_routing_recall():
     """Titles at the threshold share a cell: what routing loses against searching every segment."""
     lost = n = 0
